@@ -3,14 +3,15 @@
 For each language a zstandard raw-content dictionary is made of a bounded
 sample of labelled texts: of the labelled rows those with the smallest hash of
 their id, ``SAMPLE_DOCS`` a language in the mean, ``SAMPLE_CHARS`` characters
-of each, ``DICTIONARY_BYTES`` together.  A text is encoded whole with every
-dictionary; the language of the smallest result wins.  Its score is the margin
-``1 - smallest / second``.  A text is rejected if it has no letter, or if the
-margin is below ``MARGIN``.
+of each.  It holds the sample's words, the most frequent ones last, where
+references to them are shortest, and at most ``DICTIONARY_BYTES``.  A text is
+encoded whole with every dictionary; the language of the smallest result wins.
+The score is the margin ``1 - smallest / second``.  A text is rejected if it
+has no letter, or if the margin is below ``MARGIN``.
 
-Texts are compared by their letters: lower-cased, everything else one space.
-Very short texts are encoded at a slower level that finds all matches, as
-single bytes decide there.
+The coder takes the first match of four bytes or more that it finds; searching
+longer compresses every language better and tells them apart less.  Texts are
+compared by their letters: lower-cased, all other ASCII one space.
 
 Edge cases: a null text, an empty one or one without a letter is ``und`` with
 score 0; so is everything if no row is labelled.  With one learned language
@@ -20,6 +21,8 @@ with score 0.  Labels, sources and ids are no inputs of a prediction.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -31,18 +34,17 @@ from . import exchange
 
 SAMPLE_DOCS = 96
 SAMPLE_CHARS = 6000
-DICTIONARY_BYTES = 112 << 10
-MARGIN = 0.002
-SHORT_BYTES = 600
-FAST_LEVEL, SLOW_LEVEL = 3, 19
+DICTIONARY_BYTES = 8 << 10
+MARGIN = 0.001
+CODER = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 4, "window_log": 18, "hash_log": 16, "chain_log": 16, "search_log": 4, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
 UNDETERMINED = "und"
 
 _letter = regex.compile(r"\p{L}")
-_other = regex.compile(r"[^\p{L}\p{M}]+")
+_letters = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
 def plain(text: str) -> bytes:
-    return _other.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_letters).split())
 
 
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column) -> dict[str, bytes]:
@@ -54,10 +56,21 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Col
         return {}
     below = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
     sample = rows.where(F.col("h") <= below[F.col("lang")]).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    out: dict[str, bytes] = {}
-    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
-        out[r["lang"]] = out.get(r["lang"], b"") + plain(r["text"]) + b" "
-    return {k: v[:DICTIONARY_BYTES] for k, v in sorted(out.items())}
+    seen: dict[str, Counter] = {}
+    for r in sample.collect():
+        seen.setdefault(r["lang"], Counter()).update(plain(r["text"]).split())
+    return {lang: dictionary(count) for lang, count in sorted(seen.items())}
+
+
+def dictionary(count: Counter) -> bytes:
+    """The most frequent words that fit, the most frequent last."""
+    words, size = [], 1
+    for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0])):
+        size += len(w) + 1
+        if size > DICTIONARY_BYTES:
+            break
+        words.append(w)
+    return b" " + b" ".join(reversed(words)) + b" "
 
 
 def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", keep: list[str] | None = None, margin: float = MARGIN) -> DataFrame:
@@ -75,17 +88,14 @@ def keep_identified(docs: DataFrame, model: dict[str, bytes], text_col: str = "t
 
 
 def predictor(model: dict[str, bytes], margin: float):
-    ready: list[list] = []
+    ready: list[zstandard.ZstdCompressor] = []
 
     def run(b: dict[str, pa.Array]) -> dict[str, pa.Array]:
         if not ready:
-            for level in (FAST_LEVEL, SLOW_LEVEL):
-                coders = []
-                for content in model.values():
-                    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                    d.precompute_compress(level=level)
-                    coders.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-                ready.append(coders)
+            for content in model.values():
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(compression_params=zstandard.ZstdCompressionParameters(**CODER))
+                ready.append(zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(**CODER), dict_data=d))
         names = list(model)
         pred, score, rejected = [], [], []
         for t in b["text"].to_pylist():
@@ -95,7 +105,7 @@ def predictor(model: dict[str, bytes], margin: float):
                 rejected.append(True)
                 continue
             p = plain(t)
-            sizes = [len(c.compress(p)) for c in ready[len(p) <= SHORT_BYTES]]
+            sizes = [len(c.compress(p)) for c in ready]
             best = min(sizes)
             rest = sorted(sizes)[1:] or [best * 10**9]
             m = max(0.0, 1.0 - best / rest[0])
