@@ -59,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = exchange.materialize(stage(spark, docs, sf_dir), name)
+        past, docs = docs, exchange.materialize(stage(spark, docs, sf_dir), name)
+        exchange.discard(past)
     return docs

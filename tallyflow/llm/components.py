@@ -19,6 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     live = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     live = exchange.materialize(live.distinct(), "links")
+    live_table = live
     steps: list[DataFrame] = []
     while not exchange.is_empty(live):
         turn = F.lit(len(steps))
@@ -30,7 +31,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         for end in ("a", "b"):
             moved = exchange.lookup(live, step, {"key": F.bitwise_not(end)}, {"key": F.bitwise_not("node")}, "inner")
             live = moved.select(F.col("to").alias(end), "b" if end == "a" else "a")
-        live = exchange.materialize(live.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        past, live = live_table, exchange.materialize(live.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        live_table = live
+        exchange.discard(past)
     if not steps:
         return live.select(F.col("a").alias("node"), F.col("a").alias("component"))
     at = steps[0]
@@ -38,5 +41,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         on = exchange.lookup(at, step.select(F.col("node").alias("from"), F.col("to").alias("next")), {"key": F.bitwise_not("to")}, {"key": F.bitwise_not("from")})
         at = on.select("node", F.coalesce("next", "to").alias("to"))
     at = exchange.materialize(at, "roots")
+    exchange.discard(live, *steps)
     least = at.groupBy("to").agg(F.min("node").alias("component"))
     return exchange.lookup(at, least.withColumnRenamed("to", "root"), {"key": F.bitwise_not("to")}, {"key": F.bitwise_not("root")}, "inner").select("node", "component")

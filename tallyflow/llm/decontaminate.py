@@ -35,7 +35,7 @@ from . import exchange, words
 
 WINDOW = 10
 CHUNK_BYTES = 8 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 REPORT = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean"}
 MATCH = "array<struct<item_id:string,item_start:int,doc_start:int,n_words:int>>"

@@ -41,7 +41,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tallyflow_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_tallyflow_path", None)
+        if path:
+            jvm, sc = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_bytes(docs: DataFrame, text_col: str) -> int:

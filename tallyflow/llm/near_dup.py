@@ -9,14 +9,18 @@ Jaccard similarity of their weighted shingles, which is the plain Jaccard
 similarity where no shingle is repeated.
 
 ``BANDS`` bands of ``ROWS`` registers propose pairs; a pair at 0.8 is missed
-with probability (1 - 0.8**4)**20 < 3e-5.  Each proposed pair is verified by
+with probability (1 - 0.8**6)**40 < 6e-6.  Each proposed pair is verified by
 the exact similarity.
 
 Equal documents are collapsed first.  Within a bucket the members are compared
-with one centre, chosen at random for each bucket, not with each other.  Where
-that leaves a bucket in several classes, further members become centres, up
-to ``CENTRES`` a round, until every pair of members is either in one class or
-was compared; so no link is lost, and a bucket of copies costs its size.
+with one centre, not with each other: with the member whose buckets hold the
+most documents together, which is the original rather than one of its copies.
+Where that leaves a bucket in several classes, its members outside the largest
+class are compared by their signatures with all members of other classes, in
+tasks that hold pairs of chunks of a bucket; pairs that agree in ``SCREEN`` of
+the registers (at 0.8 fewer agree with probability 1e-4) are verified
+too.  So every pair of members is in one class, or was compared and is no
+link, and a bucket of copies costs its size.
 
 Edge cases: null and empty texts, and those of white space, have no shingles
 and are classes of their own.  A text of fewer than five words is one shingle.
@@ -35,9 +39,10 @@ from . import components, exchange, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-ROWS, BANDS = 4, 20
-CENTRES = 16
-PIECE = 4 << 20
+ROWS, BANDS = 6, 40
+SCREEN = 0.7
+CHUNK = 1024
+PIECE = 2 << 20
 
 
 def weighted_shingles(w: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,14 +142,52 @@ def _weigh(b: dict[str, pa.Array]) -> dict[str, pa.Array]:
     return {"keys": pa.array(keys, pa.binary()), "weights": pa.array(weights, pa.binary())}
 
 
-def _compare(b: dict[str, pa.Array]) -> dict[str, pa.Array]:
+def _resign(b: dict[str, pa.Array]) -> dict[str, pa.Array]:
+    """Two bytes of each register, from the stored shingles."""
     out = []
-    for ka, va, kb, vb in zip(*(b[c] for c in ("ka", "wa", "kb", "wb")), strict=True):
-        a, c = np.frombuffer(ka.as_buffer(), np.uint64), np.frombuffer(kb.as_buffer(), np.uint64)
-        wa = np.frombuffer(va.as_buffer(), np.uint32) if len(va.as_buffer()) else np.ones(len(a))
-        wb = np.frombuffer(vb.as_buffer(), np.uint32) if len(vb.as_buffer()) else np.ones(len(c))
-        out.append(probability_jaccard(a, wa, c, wb))
-    return {"similarity": pa.array(out, pa.float64())}
+    for keys, weights in zip(b["keys"], b["weights"], strict=True):
+        h = np.frombuffer(keys.as_buffer(), np.uint64)
+        w = np.frombuffer(weights.as_buffer(), np.uint32) if len(weights.as_buffer()) else np.ones(len(h))
+        sign = prob_minhash(np.zeros(len(h), np.int64), h, w, 1, ROWS * BANDS)
+        out.append(words.mix(sign).astype(np.uint16).tobytes())
+    return {"sign": pa.array(out, pa.binary())}
+
+
+def _screen(batches):
+    """Pairs of different classes in one bucket whose signatures agree far enough."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held).combine_chunks()
+    bucket, rep, klass, largest, own, low, high = (t.column(c).to_numpy() for c in ("bucket", "rep", "class", "largest", "own", "low", "high"))
+    signs = np.frombuffer(b"".join(t.column("sign").to_pylist()), np.uint16).reshape(len(rep), -1)
+    order = np.lexsort((rep, high, low, bucket))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(bucket[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+    edges = np.append(np.flatnonzero(new), len(order))
+    least = SCREEN * signs.shape[1]
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        group = order[a:z]
+        heads, tails = [], []
+        crossed = low[group[0]] != high[group[0]]
+        for i in group[~largest[group]]:
+            others = group[(klass[group] != klass[i]) & ((own[group] != own[i]) if crossed else (largest[group] | (rep[group] > rep[i])))]
+            near = others[(signs[others] == signs[i]).sum(axis=1) >= least]
+            heads.append(np.minimum(rep[near], rep[i]))
+            tails.append(np.maximum(rep[near], rep[i]))
+        if heads and sum(map(len, heads)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.concatenate(tails))], ["a", "b"])
+
+
+def _comparer(similarity: float):
+    def compare(pairs, texts):
+        held = {}
+        for i, k, w in zip(texts.column("id").to_pylist(), texts.column("keys").to_pylist(), texts.column("weights").to_pylist(), strict=True):
+            held[i] = np.frombuffer(k, np.uint64), np.frombuffer(w, np.uint32) if w else np.ones(len(k) // 8)
+        found = [(a, b) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True) if probability_jaccard(*held[a], *held[b]) >= similarity]
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    return compare
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -155,48 +198,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = signed.where("bands is not null and id is not null")
     reps = exchange.materialize(usable.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "texts")
     spread = reps.select("rep", F.explode("bands").alias("bucket"))
-    buckets = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep")).alias("m")).where("n > 1").select(F.col("bucket").alias("b"), "n", F.col("m.rep").alias("centre"))
-    members = exchange.materialize(exchange.lookup(spread, buckets, {"key": F.bitwise_not("bucket")}, {"key": F.bitwise_not("b")}, "inner").select("bucket", "rep", "n", "centre"), "members")
+    counts = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("b"), "n")
+    shared = exchange.materialize(exchange.lookup(spread, counts, {"key": F.bitwise_not("bucket")}, {"key": F.bitwise_not("b")}, "inner").select("bucket", "rep", "n"), "shared")
+    reach = shared.groupBy("rep").agg(F.sum("n").alias("reach")).withColumnRenamed("rep", "r")
+    ranked = shared.join(reach.hint("merge"), F.col("rep") == F.col("r")).drop("r")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("reach", (-F.col("rep")).alias("rep"))).alias("m")).select(F.col("bucket").alias("b"), (-F.col("m.rep")).alias("centre"))
+    members = exchange.materialize(exchange.lookup(shared, hubs, {"key": F.bitwise_not("bucket")}, {"key": F.bitwise_not("b")}, "inner").select("bucket", "rep", "n", "centre"), "members")
 
     wanted = members.select("rep").distinct()
     texts = rows.join(wanted, rows.id == wanted.rep, "left_semi")
     shingled = exchange.materialize(exchange.annotate(texts, ["id"], {"text": F.col("text")}, _weigh, {"keys": "binary", "weights": "binary"}), "shingled")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        for end in ("a", "b"):
-            side = shingled.select(F.col("id").alias(f"id_{end}"), F.col("keys").alias(f"k{end}"), F.col("weights").alias(f"w{end}"))
-            pairs = exchange.lookup(pairs, side, {"key": F.bitwise_not(end)}, {"key": F.bitwise_not(f"id_{end}")}, "inner").drop(f"id_{end}")
-        said = exchange.annotate(pairs, ["a", "b"], {c: F.col(c) for c in ("ka", "wa", "kb", "wb")}, _compare, {"similarity": "double"})
-        return said.where(F.col("similarity") >= similarity).select("a", "b")
+        """The pairs that are similar; documents meet by pairs of blocks, so one with many partners is not sent for each."""
+        blocks = F.lit(max(1, -(-pairs.count() // 2048)))
+        pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), blocks).alias("ba"), F.pmod(F.xxhash64("b"), blocks).alias("bb"))
+        wants = pairs.select(F.col("a").alias("want"), "ba", "bb").unionByName(pairs.select(F.col("b").alias("want"), "ba", "bb")).distinct()
+        sent = exchange.lookup(wants, shingled, {"key": F.bitwise_not("want")}, {"key": F.bitwise_not("id")}, "inner").select("ba", "bb", "id", "keys", "weights")
+        return pairs.groupBy("ba", "bb").cogroup(sent.groupBy("ba", "bb")).applyInArrow(_comparer(similarity), "a long, b long")
 
     def pair(x: str, y: str):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
+    tables: list[DataFrame] = []  # those that later rounds add
     tested = exchange.materialize(members.where("rep <> centre").select(*pair("rep", "centre")).distinct(), "pairs")
     links = exchange.materialize(verify(tested), "verified")
-    used = members.where("n > 2").select("bucket", F.col("centre").alias("rep")).distinct()
+    tables += [tested, links]
     classes = exchange.materialize(components.connected_components(links), "classes")
-    wide = members.where("n > 2").select("bucket", "rep")
-    while True:
-        known = exchange.lookup(wide, classes, {"key": F.bitwise_not("rep")}, {"key": F.bitwise_not("node")})
-        known = exchange.materialize(known.select("bucket", "rep", F.coalesce("component", "rep").alias("class")), "known")
-        sizes = known.groupBy("bucket", "class").agg(F.count("*").alias("size"))
-        split = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("m")).where("classes > 1").select(F.col("bucket").alias("b"), F.col("m.class").alias("main"))
-        open_ = exchange.lookup(known, split, {"key": F.bitwise_not("bucket")}, {"key": F.bitwise_not("b")}, "inner").select("bucket", "rep", "class", "main")
-        open_ = exchange.materialize(open_, "open")
-        minor = open_.where(F.col("class") != F.col("main")).join(used, ["bucket", "rep"], "left_anti")
-        centres = minor.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(CENTRES)).alias("salt")).agg(F.min(F.struct("rep", "class")).alias("c"))
-        centres = exchange.materialize(centres.select("bucket", F.col("c.rep").alias("centre"), F.col("c.class").alias("own")), "centres")
-        if exchange.is_empty(centres):
-            break
-        more = open_.join(centres.hint("merge"), "bucket").where(F.col("class") != F.col("own")).select(*pair("rep", "centre")).distinct()
-        more = exchange.materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = exchange.materialize(verify(more), "verified")
-        tested, used = tested.unionByName(more), used.unionByName(centres.select("bucket", F.col("centre").alias("rep")))
-        if not exchange.is_empty(new):
-            links = links.unionByName(new)
-            classes = exchange.materialize(components.connected_components(links), "classes")
+    known = exchange.lookup(members.where("n > 2").select("bucket", "rep"), classes, {"key": F.bitwise_not("rep")}, {"key": F.bitwise_not("node")})
+    known = exchange.materialize(known.select("bucket", "rep", F.coalesce("component", "rep").alias("class")), "known")
+    sizes = known.groupBy("bucket", "class").agg(F.count("*").alias("size"))
+    split = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("size").alias("all"), F.max(F.struct("size", "class")).alias("m")).where("classes > 1").select(F.col("bucket").alias("b"), F.col("m.class").alias("main"), F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks"))
+    open_ = exchange.lookup(known, split, {"key": F.bitwise_not("bucket")}, {"key": F.bitwise_not("b")}, "inner")
+    open_ = open_.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    open_ = exchange.materialize(open_.select("bucket", "rep", "class", (F.col("class") == F.col("main")).alias("largest"), "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")), "open")
+    signs = shingled.join(open_.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    signs = exchange.annotate(signs, ["id"], {c: F.col(c) for c in ("keys", "weights")}, _resign, {"sign": "binary"}).withColumnRenamed("id", "signed_id")
+    parts = max(2 * exchange.shuffle_width(docs.sparkSession), open_.count() // 20_000)
+    dealt = exchange.lookup(open_, signs, {"key": F.bitwise_not("rep")}, {"key": F.bitwise_not("signed_id")}, "inner").drop("signed_id")
+    more = dealt.repartition(parts, "bucket", "low", "high").mapInArrow(_screen, "a long, b long").distinct()
+    more = exchange.materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+    new = exchange.materialize(verify(more), "verified")
+    tables += [known, open_, more, new]
+    if not exchange.is_empty(new):
+        tables.append(classes)
+        classes = exchange.materialize(components.connected_components(links.unionByName(new)), "classes")
     named = exchange.lookup(reps.drop("bands"), classes, {"key": F.bitwise_not("rep")}, {"key": F.bitwise_not("node")}).select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.coalesce("component", "rep").alias("class_id"))
     mine = F.when(F.col("bands").isNotNull() & F.col("id").isNotNull(), F.bitwise_not("t1")), F.when(F.col("bands").isNotNull() & F.col("id").isNotNull(), F.bitwise_not("t2"))
     out = exchange.lookup(signed.withColumns({"x1": mine[0], "x2": mine[1]}).drop("bands"), named, {"k1": F.coalesce("x1", F.xxhash64("id", F.lit(1))), "k2": F.col("x2")}, {"k1": F.bitwise_not("u1"), "k2": F.bitwise_not("u2")})
-    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce(F.coalesce("class_id", "id") == F.col("id"), F.lit(True)).alias("kept"))
+    out = exchange.materialize(out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce(F.coalesce("class_id", "id") == F.col("id"), F.lit(True)).alias("kept")), "result")
+    exchange.discard(signed, reps, shared, members, shingled, classes, *tables)
+    return out

@@ -102,7 +102,10 @@ class Words:
         up, down = _power(which, len(self.data) + 1)
         with np.errstate(over="ignore"):
             total = np.zeros(len(self.data) + 1, U64)
-            np.cumsum((self.data.astype(U64) + U64(1)) * up[:-1], out=total[1:])
+            total[1:] = self.data
+            total[1:] += U64(1)
+            total[1:] *= up[:-1]
+            np.cumsum(total[1:], out=total[1:])
             h = (total[self.end] - total[self.start]) * down[self.start]
             h += (self.end - self.start).astype(U64) << U64(56)
         return mix(h, 0x51ED270B * (which + 1))
