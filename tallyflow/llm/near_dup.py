@@ -214,8 +214,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         blocks = F.lit(max(1, -(-pairs.count() // 2048)))
         pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), blocks).alias("ba"), F.pmod(F.xxhash64("b"), blocks).alias("bb"))
         wants = pairs.select(F.col("a").alias("want"), "ba", "bb").unionByName(pairs.select(F.col("b").alias("want"), "ba", "bb")).distinct()
-        sent = exchange.lookup(wants, shingled, {"key": F.bitwise_not("want")}, {"key": F.bitwise_not("id")}, "inner").select("ba", "bb", "id", "keys", "weights")
-        return pairs.groupBy("ba", "bb").cogroup(sent.groupBy("ba", "bb")).applyInArrow(_comparer(similarity), "a long, b long")
+        sent = exchange.lookup(wants, shingled, {"key": F.bitwise_not("want")}, {"key": F.bitwise_not("id")}, "inner").select(F.col("ba").alias("xa"), F.col("bb").alias("xb"), "id", "keys", "weights")
+        return pairs.groupBy("ba", "bb").cogroup(sent.groupBy("xa", "xb")).applyInArrow(_comparer(similarity), "a long, b long")
 
     def pair(x: str, y: str):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
