@@ -38,6 +38,7 @@ REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SUFFIX = ".warc.gz"
+RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 INDEX = "archive string, offset long, length long, record_id string, record_type string"
 
 
@@ -46,8 +47,9 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(exchange.quoted(id_col).cast("long").alias("page_id"), exchange.quoted(url_col).cast("string").alias("url"), F.encode(F.coalesce(exchange.quoted(html_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     same = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1")
-    same = same.select(F.col("digest").alias("d"), "first")
-    out = exchange.lookup(rows, same, {"key": F.unhex("digest")}, {"key": F.unhex("d")})
+    # written first, so its size is known: Spark sends it to all tasks if it is small, and else sorts both sides, splitting hot digests
+    same = exchange.materialize(same.select(F.col("digest").alias("d"), "first"), "payloads")
+    out = rows.join(same, F.col("digest") == F.col("d"), "left")
     return out.select("page_id", "url", "payload", "digest", F.when((F.col("page_id") != F.col("first")) | (F.col("page_id").isNull() & F.col("first").isNotNull()), F.col("first")).alias("refers_to"))
 
 
@@ -218,24 +220,46 @@ def read_records(spark: SparkSession, path: str, index: str) -> DataFrame:
     exchange.ship(spark)
     at = spark.read.schema(INDEX).parquet(index).groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at"))
     held = archives(spark, path).join(at, "archive").select("content", "at")
-    out = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
     def read(batches):
         for b in batches:
             for content, places in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 raw = memoryview(content.as_buffer())
                 for k in range(0, len(places), 256):
-                    rows = []
-                    for p in places[k : k + 256]:
-                        f = parse(zlib.decompress(raw[p["offset"] : p["offset"] + p["length"]], 31))
-                        head, _, payload = f["block"].partition(b"\r\n\r\n")
-                        size = int(re.search(rb"(?i)\r\nContent-Length: *(\d+)", head)[1])
-                        revisit = f["warc-type"] == "revisit"
-                        rows.append((page_of(f["warc-record-id"]), f.get("warc-target-uri"), size, base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex(), f["warc-type"], page_of(f.get("warc-refers-to")), None if revisit else payload))
-                    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-
-    return held.mapInArrow(read, out)
+                    yield _decoded([zlib.decompress(raw[p["offset"] : p["offset"] + p["length"]], 31) for p in places[k : k + 256]])
+
+    return held.mapInArrow(read, RECORD)
+
+
+def _decoded(raws: list[bytes]) -> pa.RecordBatch:
+    rows = []
+    for raw in raws:
+        f = parse(raw)
+        head, _, payload = f["block"].partition(b"\r\n\r\n")
+        size = int(re.search(rb"(?i)\r\nContent-Length: *(\d+)", head)[1])
+        digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
+        rows.append((page_of(f["warc-record-id"]), f.get("warc-target-uri"), size, digest, f["warc-type"], page_of(f.get("warc-refers-to")), None if f["warc-type"] == "revisit" else payload))
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+
+
+def scan_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of normalised archives, member after member, without the index."""
+    exchange.ship(spark)
+
+    def scan(batches):
+        for b in batches:
+            for content in b.column(0):
+                raws: list[bytes] = []
+                for _, _, raw in members(memoryview(content.as_buffer())):
+                    raws.append(raw)
+                    if len(raws) == 256:
+                        yield _decoded(raws)
+                        raws = []
+                if raws:
+                    yield _decoded(raws)
+
+    return archives(spark, path).select("content").mapInArrow(scan, RECORD)
 
 
 def remove(spark: SparkSession, path: str) -> None:
