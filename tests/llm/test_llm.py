@@ -333,10 +333,11 @@ def test_op8_signatures_estimate():
     assert abs(exact - slow) < 1e-9
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 40, components.ONE_TASK])
+def test_components(spark, one_task):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(200, 260)] + [(500, 500 + i) for i in range(1, 80)] + [(rng.randrange(120), rng.randrange(120)) for _ in range(60)] + [(7, 7), (3, None)]
-    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
     parent = {}
     for a, b in edges:
         if b is None or a == b:
