@@ -60,9 +60,12 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
-def block_count(spark: SparkSession, total: int, each: int = 8 << 20) -> int:
-    """How many parts ``total`` bytes are dealt to: about ``each`` bytes a part, and enough for every core."""
-    return max(2 * shuffle_width(spark), -(-total // each))
+def block_count(spark: SparkSession, total: int, each: int = 8 << 20, least: int = 1 << 20) -> int:
+    """How many parts ``total`` bytes are dealt to: about ``each`` bytes a part, or fewer so that every core has some, but not under ``least``.
+
+    Parts exchange packets with each other, so parts of little text would make packets of few keys.
+    """
+    return max(1, -(-total // each), min(2 * shuffle_width(spark), -(-total // least)))
 
 
 def is_empty(df: DataFrame) -> bool:
