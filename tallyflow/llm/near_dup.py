@@ -143,24 +143,31 @@ def _weigh(b: dict[str, pa.Array]) -> dict[str, pa.Array]:
 
 
 def _resign(b: dict[str, pa.Array]) -> dict[str, pa.Array]:
-    """Two bytes of each register, from the stored shingles."""
-    out = []
-    for keys, weights in zip(b["keys"], b["weights"], strict=True):
-        h = np.frombuffer(keys.as_buffer(), np.uint64)
-        w = np.frombuffer(weights.as_buffer(), np.uint32) if len(weights.as_buffer()) else np.ones(len(h))
-        sign = prob_minhash(np.zeros(len(h), np.int64), h, w, 1, ROWS * BANDS)
-        out.append(words.mix(sign).astype(np.uint16).tobytes())
-    return {"sign": pa.array(out, pa.binary())}
+    """Two bytes of each register, and the buckets, from the stored shingles."""
+    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in b["keys"]]
+    weights = [np.frombuffer(x.as_buffer(), np.uint32) if len(x.as_buffer()) else np.ones(len(k)) for x, k in zip(b["weights"], keys, strict=True)]
+    sizes = np.array([len(k) for k in keys], dtype=np.int64)
+    signs, buckets = [], []
+    for lo, hi in words.pieces(np.concatenate([[0], np.cumsum(sizes + ROWS * BANDS)]), PIECE >> 3):
+        doc = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+        sign = prob_minhash(doc, np.concatenate(keys[lo:hi]), np.concatenate(weights[lo:hi]), hi - lo, ROWS * BANDS)
+        signs += [x.tobytes() for x in words.mix(sign).astype(np.uint16)]
+        buckets += [x.tobytes() for x in band_keys(sign)]
+    return {"sign": pa.array(signs, pa.binary()), "bands": pa.array(buckets, pa.binary())}
 
 
 def _screen(batches):
-    """Pairs of different classes in one bucket whose signatures agree far enough."""
+    """Pairs of different classes in one bucket whose signatures agree far enough; a pair comes from the first bucket that it shares.
+
+    That bucket is compared as well: it holds two classes, and is not a bucket of these two alone, whose pair is tested.
+    """
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     t = pa.Table.from_batches(held).combine_chunks()
     bucket, rep, klass, largest, own, low, high = (t.column(c).to_numpy() for c in ("bucket", "rep", "class", "largest", "own", "low", "high"))
     signs = np.frombuffer(b"".join(t.column("sign").to_pylist()), np.uint16).reshape(len(rep), -1)
+    bands = np.frombuffer(b"".join(t.column("bands").to_pylist()), np.int64).reshape(len(rep), -1)
     order = np.lexsort((rep, high, low, bucket))
     new = np.ones(len(order), dtype=bool)
     new[1:] = (np.diff(bucket[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
@@ -173,6 +180,8 @@ def _screen(batches):
         for i in group[~largest[group]]:
             others = group[(klass[group] != klass[i]) & ((own[group] != own[i]) if crossed else (largest[group] | (rep[group] > rep[i])))]
             near = others[(signs[others] == signs[i]).sum(axis=1) >= least]
+            if len(near):
+                near = near[bands[i][(bands[near] == bands[i]).argmax(axis=1)] == bucket[i]]
             heads.append(np.minimum(rep[near], rep[i]))
             tails.append(np.maximum(rep[near], rep[i]))
         if heads and sum(map(len, heads)):
@@ -233,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     open_ = exchange.materialize(open_.select("bucket", "rep", "class", (F.col("class") == F.col("main")).alias("largest"), "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")), "open")
     signs = shingled.join(open_.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
-    signs = exchange.annotate(signs, ["id"], {c: F.col(c) for c in ("keys", "weights")}, _resign, {"sign": "binary"}).withColumnRenamed("id", "signed_id")
+    signs = exchange.annotate(signs, ["id"], {c: F.col(c) for c in ("keys", "weights")}, _resign, {"sign": "binary", "bands": "binary"}).withColumnRenamed("id", "signed_id")
     parts = max(2 * exchange.shuffle_width(docs.sparkSession), open_.count() // 20_000)
     dealt = exchange.lookup(open_, signs, {"key": F.bitwise_not("rep")}, {"key": F.bitwise_not("signed_id")}, "inner").drop("signed_id")
     more = dealt.repartition(parts, "bucket", "low", "high").mapInArrow(_screen, "a long, b long").distinct()
