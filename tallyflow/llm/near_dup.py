@@ -16,10 +16,10 @@ Equal documents are collapsed first.  Within a bucket the members are compared
 with one centre, not with each other: with the member whose buckets hold the
 most documents together, which is the original rather than one of its copies.
 Where that leaves a bucket in several classes, its members outside the largest
-class are compared by their signatures with all members of other classes, in
-tasks that hold pairs of chunks of a bucket; pairs that agree in ``SCREEN`` of
-the registers (at 0.8 fewer agree with probability 1e-4) are verified
-too.  So every pair of members is in one class, or was compared and is no
+class are compared by finer signatures with all members of other classes, in
+tasks that hold pairs of chunks of a bucket; pairs that agree in ``COARSE`` of
+the first ``GLANCE`` registers and in ``SCREEN`` of all ``FINE`` (at 0.8 fewer
+agree with probability 8e-5 and 4e-5) are verified too.  So every pair of members is in one class, or was compared and is no
 link, and a bucket of copies costs its size.
 
 Edge cases: null and empty texts, and those of white space, have no shingles
@@ -40,7 +40,8 @@ from . import components, exchange, words
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 6, 40
-SCREEN = 0.7
+FINE, SCREEN = 1024, 0.75
+GLANCE, COARSE = 256, 0.7
 CHUNK = 1024
 PIECE = 2 << 20
 
@@ -143,16 +144,16 @@ def _weigh(b: dict[str, pa.Array]) -> dict[str, pa.Array]:
 
 
 def _resign(b: dict[str, pa.Array]) -> dict[str, pa.Array]:
-    """Two bytes of each register, and the buckets, from the stored shingles."""
+    """One byte of each register of the fine signature, and the buckets, from the stored shingles."""
     keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in b["keys"]]
     weights = [np.frombuffer(x.as_buffer(), np.uint32) if len(x.as_buffer()) else np.ones(len(k)) for x, k in zip(b["weights"], keys, strict=True)]
     sizes = np.array([len(k) for k in keys], dtype=np.int64)
     signs, buckets = [], []
-    for lo, hi in words.pieces(np.concatenate([[0], np.cumsum(sizes + ROWS * BANDS)]), PIECE >> 3):
+    for lo, hi in words.pieces(np.concatenate([[0], np.cumsum(sizes + FINE)]), PIECE >> 3):
         doc = np.repeat(np.arange(hi - lo), sizes[lo:hi])
-        sign = prob_minhash(doc, np.concatenate(keys[lo:hi]), np.concatenate(weights[lo:hi]), hi - lo, ROWS * BANDS)
-        signs += [x.tobytes() for x in words.mix(sign).astype(np.uint16)]
-        buckets += [x.tobytes() for x in band_keys(sign)]
+        weighted = np.concatenate(keys[lo:hi]), np.concatenate(weights[lo:hi])
+        signs += [x.tobytes() for x in words.mix(prob_minhash(doc, *weighted, hi - lo, FINE)).astype(np.uint8)]
+        buckets += [x.tobytes() for x in band_keys(prob_minhash(doc, *weighted, hi - lo, ROWS * BANDS))]
     return {"sign": pa.array(signs, pa.binary()), "bands": pa.array(buckets, pa.binary())}
 
 
@@ -166,20 +167,21 @@ def _screen(batches):
         return
     t = pa.Table.from_batches(held).combine_chunks()
     bucket, rep, klass, largest, own, low, high = (t.column(c).to_numpy() for c in ("bucket", "rep", "class", "largest", "own", "low", "high"))
-    signs = np.frombuffer(b"".join(t.column("sign").to_pylist()), np.uint16).reshape(len(rep), -1)
+    signs = np.frombuffer(b"".join(t.column("sign").to_pylist()), np.uint8).reshape(len(rep), FINE)
     bands = np.frombuffer(b"".join(t.column("bands").to_pylist()), np.int64).reshape(len(rep), -1)
     order = np.lexsort((rep, high, low, bucket))
     new = np.ones(len(order), dtype=bool)
     new[1:] = (np.diff(bucket[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
     edges = np.append(np.flatnonzero(new), len(order))
-    least = SCREEN * signs.shape[1]
+    glance = np.ascontiguousarray(signs[:, :GLANCE])
     for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         group = order[a:z]
         heads, tails = [], []
         crossed = low[group[0]] != high[group[0]]
         for i in group[~largest[group]]:
             others = group[(klass[group] != klass[i]) & ((own[group] != own[i]) if crossed else (largest[group] | (rep[group] > rep[i])))]
-            near = others[(signs[others] == signs[i]).sum(axis=1) >= least]
+            near = others[np.count_nonzero(glance[others] == glance[i], axis=1) >= COARSE * GLANCE]
+            near = near[np.count_nonzero(signs[near] == signs[i], axis=1) >= SCREEN * FINE]
             if len(near):
                 near = near[bands[i][(bands[near] == bands[i]).argmax(axis=1)] == bucket[i]]
             heads.append(np.minimum(rep[near], rep[i]))
