@@ -245,6 +245,23 @@ def test_op6(spark):
     assert sum(r["rejected"] for r in got) <= 0.01 * len(got)
 
 
+def test_op6_margin_of_long_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    model = langid.learn(docs, "doc_id", "text", "lang", ~langid.held_out())
+    parts = collections.defaultdict(list)
+    for r in docs.where(langid.held_out()).orderBy("doc_id").select("lang", "text").collect():
+        parts[r["lang"]].append(r["text"])
+    long = {lang: (" ".join(p) * (1 + 4_000_000 // sum(map(len, p))))[:4_000_000] for lang, p in parts.items()}
+    rows = spark.createDataFrame([(lang, t[:n]) for lang, t in long.items() for n in (100_000, 4_000_000)], "lang string, text string")
+    got = langid.identify(rows, model, keep=["lang", "text"]).select("lang", "lang_pred", "rejected", "score", F.length("text").alias("n")).collect()
+    assert len(got) == 2 * len(long) >= 8 and all(r["lang_pred"] == r["lang"] and not r["rejected"] for r in got)
+    margin = {(r["lang"], r["n"]): r["score"] for r in got}
+    assert all(0.5 < margin[lang, 4_000_000] / margin[lang, 100_000] < 2 for lang in long)
+    assert langid.keep_identified(rows, model).count() == len(got)
+    even = "".join(x[a : a + 2000] for a in range(0, 1_000_000, 2000) for x in (long["en"], long["fr"]))
+    assert min(margin.values()) > 4 * langid.identify(spark.createDataFrame([(even,)], "text string"), model).first()["score"]
+
+
 def test_op6_edges(spark, tricky):
     got = langid.language_id(documents(spark, tricky), keep=["doc_id"]).collect()
     said = {r["doc_id"]: r["lang_pred"] for r in got}
