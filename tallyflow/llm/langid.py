@@ -1,9 +1,10 @@
 """Language ID by compression (operator 6).
 
 For each language a zstandard raw-content dictionary is made of a bounded
-sample of labelled texts: of the labelled rows those with the smallest hash of
-their id, ``SAMPLE_DOCS`` a language in the mean, ``SAMPLE_CHARS`` characters
-of each.  It holds the sample's words, the most frequent ones last, where
+sample of labelled texts: of the labelled rows those with the smallest hashes
+of id and text, ``SAMPLE_DOCS`` a language at most, ``SAMPLE_CHARS`` characters
+of each.  Equal rows count once, so null or repeated ids neither crowd the
+sample nor lift its bound.  It holds the sample's words, the most frequent ones last, where
 references to them are shortest, and at most ``DICTIONARY_BYTES``.  All of a
 text is encoded with every dictionary, in blocks of ``BLOCK_BYTES`` that each
 start from the dictionary; the language of the smallest sum of sizes wins.  The
@@ -29,11 +30,12 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange
@@ -56,13 +58,27 @@ def plain(text: str) -> bytes:
 
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column) -> dict[str, bytes]:
     """Language to dictionary content, from the labelled rows for which ``train`` holds."""
+    exchange.ship(docs.sparkSession)
     rows = docs.where(train & exchange.quoted(lang_col).isNotNull() & exchange.quoted(text_col).isNotNull())
-    rows = rows.select(exchange.quoted(lang_col).alias("lang"), F.pmod(F.xxhash64(exchange.quoted(id_col).cast("string")), F.lit(1 << 40)).alias("h"), exchange.quoted(text_col).alias("text"))
-    share: dict[str, int] = {r["lang"]: int(min(1.0, SAMPLE_DOCS / r["n"]) * (1 << 40)) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not share:
+    rows = rows.select(exchange.quoted(lang_col).alias("lang"), F.xxhash64(exchange.quoted(id_col).cast("string"), exchange.quoted(text_col)).alias("h"), exchange.quoted(text_col).alias("text"))
+
+    def least(batches):
+        """The smallest distinct hashes a language of one task."""
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            for lang in b.column(0).unique():
+                h = b.column(1).filter(pc.equal(b.column(0), lang)).to_numpy()
+                held[lang.as_py()] = np.unique(np.append(held.get(lang.as_py(), h[:0]), h))[:SAMPLE_DOCS]
+        for lang, h in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h, pa.int64())], ["lang", "h"])
+
+    first = rows.select("lang", "h").mapInArrow(least, "lang string, h long").distinct()
+    first = first.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE_DOCS)
+    last: dict[str, int] = {r["lang"]: r["last"] for r in first.groupBy("lang").agg(F.max("h").alias("last")).collect()}
+    if not last:
         return {}
-    below = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    sample = rows.where(F.col("h") <= below[F.col("lang")]).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    below = F.create_map(*[F.lit(x) for kv in last.items() for x in kv])
+    sample = rows.where(F.col("h") <= below[F.col("lang")]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
     seen: dict[str, Counter] = {}
     for r in sample.collect():
         seen.setdefault(r["lang"], Counter()).update(plain(r["text"]).split())

@@ -262,6 +262,17 @@ def test_op6_margin_of_long_texts(spark):
     assert min(margin.values()) > 4 * langid.identify(spark.createDataFrame([(even,)], "text string"), model).first()["score"]
 
 
+def test_op6_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "dictionary", lambda count: seen.append(count) or b" x ")
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(None, f"null{word(i)}", "aa") for i in range(1000)] + [(7, f"same{word(i)}", "bb") for i in range(1000)] + [(i, f"own{word(i)}", "cc") for i in range(1000)]
+    rows += [(None, "copies", "dd")] * 1000 + [(i, f"few{word(i)}", "dd") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    assert list(langid.learn(docs, "doc_id", "text", "lang", F.lit(True))) == ["aa", "bb", "cc", "dd"]
+    assert [sum(c.values()) for c in seen] == [langid.SAMPLE_DOCS] * 3 + [10]
+
+
 def test_op6_edges(spark, tricky):
     got = langid.language_id(documents(spark, tricky), keep=["doc_id"]).collect()
     said = {r["doc_id"]: r["lang_pred"] for r in got}
