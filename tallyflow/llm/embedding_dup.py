@@ -5,7 +5,8 @@ hashes a vector to the integer parts of ``k`` random projections (Gaussian,
 width ``WIDTH`` times the distance at the threshold); its key is the whole of
 them.  ``k`` grows with the logarithm of the number of vectors, so chance
 collisions stay in proportion, and the number of tables is what a pair just at
-the threshold needs to be found with probability ``RECALL``.  Every pair that
+the threshold needs to be missed with probability 1 - ``RECALL`` at most; closer
+pairs are missed less.  Every pair that
 shares a bucket is checked by its exact cosine in double precision.
 
 Equal vectors are collapsed first.  Buckets of one vector go before any vector
@@ -32,8 +33,8 @@ from . import components, exchange
 
 COSINE = 0.95
 WIDTH = 4.0
-RECALL = 0.99
-MOST_TABLES = 96
+RECALL = 1 - 6e-6
+MOST_TABLES = 256
 CHUNK = 512
 SEED = 20_240_917
 
@@ -140,6 +141,7 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     full = full.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("rep", "tab", "bucket", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     full = exchange.materialize(full, "members")
+    exchange.discard(placed)
     parts = max(2 * exchange.shuffle_width(spark), full.count() // 40_000)
     moved = full.join(unit.select("rep", "v", "copies").hint("merge"), "rep").repartition(parts, "tab", "bucket", "low", "high")
 
@@ -163,8 +165,8 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         dim_of, place = dim_of[order], place[order]
         heads, tails = [], []
         for i, j in _pairs_of(group, own == low, own == high):
-            for a in range(0, len(i), 1 << 17):
-                x, y = i[a : a + (1 << 17)], j[a : a + (1 << 17)]
+            for a in range(0, len(i), 1 << 15):
+                x, y = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
                 # only in the first table that both share
                 ok = (np.argmax(keys[x] == keys[y], axis=1) == tab[x]) & (dim_of[x] == dim_of[y])
                 x, y = x[ok], y[ok]

@@ -407,6 +407,21 @@ def test_op9(spark):
     assert got[n + 5]["n_links"] == got[n + 6]["n_links"] == 1 and got[n + 6]["component_id"] == n + 5
 
 
+def test_op9_finds_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    u, w = rng.standard_normal((2, 2000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (u * w).sum(1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    c = embedding_dup.COSINE + 1e-9
+    v = np.concatenate([u, c * u + np.sqrt(1 - c * c) * w])
+    assert (v @ v.T >= embedding_dup.COSINE).sum() == 2 * len(v)  # each with itself and its partner
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["id"]: r for r in embedding_dup.embedding_duplicates(rows).collect()}
+    assert sum(r["n_links"] for r in got.values()) == len(v)
+    assert all(got[i]["component_id"] == got[i + 2000]["component_id"] == i for i in range(2000))
+
+
 def check_packing(rows, docs, library, capacity=1024):
     bins, pieces = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
