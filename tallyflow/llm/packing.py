@@ -10,7 +10,9 @@ of repeats.  The driver sees the histogram and nothing else.
 fillings around it, best fit first, each repeated as often as the counts
 allow, and give up a branch whose waste cannot beat the incumbent.  The first
 incumbent is best-fit decreasing.  It ends when the bound on the waste is met,
-or after ``NODES`` fillings, with the best plan so far.
+or after ``NODES`` fillings, with the best plan so far.  Around a largest
+length it tries ``TRIES`` fillings, the best of at most 40 * ``TRIES`` leaves,
+so it may miss a plan with fewer bins even where it ends before ``NODES``.
 
 Pieces then get their places without meeting in one task: ranks among equal
 lengths are counted by block, blocks get offsets by a running sum over block
