@@ -115,26 +115,32 @@ def _member(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
-def _edges(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each key range begins in sorted keys; bounds are even, as the last bit of an anchor is a mark."""
-    bounds = np.array([(r << 64) // ranges & ~1 for r in range(1, ranges)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, bounds, side="left"), [len(keys)]]).astype(np.int64)
+def _part(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each key; ranges are of an even width, as the last bit of an anchor is a mark."""
+    return np.minimum(keys // np.uint64(((1 << 64) - 1) // ranges & ~1), np.uint64(ranges - 1)).astype(np.int64)
+
+
+def _runs(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges that sorted keys are in, and where those of each begin (with the end)."""
+    part = _part(keys, ranges)
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+    return part[first], np.append(first, len(keys))
 
 
 def _unpack(bits: dict[int, bytes], keys: np.ndarray, ranges: int) -> np.ndarray:
     """The answers to sorted keys, put together again from those of the ranges."""
-    out, edges = np.zeros(len(keys), dtype=bool), _edges(keys, ranges)
-    for part, raw in bits.items():
-        a, b = edges[part], edges[part + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
+    out = np.zeros(len(keys), dtype=bool)
+    parts, edges = _runs(keys, ranges)
+    for part, a, b in zip(parts.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if part in bits:
+            out[a:b] = np.unpackbits(np.frombuffer(bits[part], np.uint8), count=b - a).astype(bool)
     return out
 
 
 def _packets(block: int, ranges: int, columns: list[np.ndarray]) -> pa.Table:
-    edges = _edges(columns[0], ranges)
-    full = np.flatnonzero(np.diff(edges))
-    rows = [b"".join(c[edges[r] : edges[r + 1]].tobytes() for c in columns) for r in full]
-    return pa.table({"part": pa.array(full, pa.int32()), "block": pa.array(np.full(len(full), block), pa.int32()), "keys": pa.array(rows, pa.binary())})
+    parts, edges = _runs(columns[0], ranges)
+    rows = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array(np.full(len(parts), block), pa.int32()), "keys": pa.array(rows, pa.binary())})
 
 
 def _answers(table: pa.Table, part: int, step: int, bits: list[np.ndarray]) -> pa.Table:
