@@ -186,7 +186,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
 
     # depth first without recursion: a frame is the ways still to try from one state
     stack = [ways((), 0)]
-    while stack and fewest > goal:
+    while stack and fewest > goal and budget[0] > 0:
         way = next(stack[-1], None)
         if way is None:
             stack.pop()
