@@ -175,13 +175,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     exchange.ship(docs.sparkSession)
     keep = [id_col] if keep is None else keep
     chunks = chunks_of(benchmark, item_id_col, item_text_col, chunk_bytes)
+    # what one chunk's pass tells the next, under names that no column has
+    mark, given = "__", docs.columns
+    while any(c.startswith(mark) for c in given):
+        mark += "_"
     state = {"mask": "binary", "items": "array<string>", "matches": MATCH}
     for k, chunk in enumerate(chunks):
         final = k == len(chunks) - 1
-        inputs = {"text": exchange.quoted(text_col)} | ({c: F.col(f"__{c}") for c in state} if k else {})
-        out = REPORT | {"matches": MATCH} if final else {f"__{c}": t for c, t in state.items()}
-        kept = keep if final else [c for c in docs.columns if c not in {f"__{x}" for x in state}]
-        docs = exchange.annotate(docs, kept, inputs, _pass(chunk, final), out)
+        inputs = {"text": exchange.quoted(text_col)} | ({c: F.col(f"{mark}{c}") for c in state} if k else {})
+        out = REPORT | {"matches": MATCH} if final else {f"{mark}{c}": t for c, t in state.items()}
+        look = _pass(chunk, final)
+        docs = exchange.annotate(docs, keep if final else given, inputs, look if final else lambda b, look=look: {f"{mark}{c}": x for c, x in look(b).items()}, out)
     return docs
 
 
@@ -240,7 +244,7 @@ def _pass(chunk: list[tuple], final: bool):
                 matches[i] = x + matches[i]
         kind = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("n_words", pa.int32())]))
         if not final:
-            return {"__mask": pa.array([np.packbits(m).tobytes() for m in masks], pa.binary()), "__items": pa.array([sorted(n) for n in named], pa.list_(pa.string())), "__matches": pa.array(matches, kind)}
+            return {"mask": pa.array([np.packbits(m).tobytes() for m in masks], pa.binary()), "items": pa.array([sorted(n) for n in named], pa.list_(pa.string())), "matches": pa.array(matches, kind)}
         n_hit = [int(m.sum()) for m in masks]
         return {
             "n_words": pa.array(lengths, pa.int64()),

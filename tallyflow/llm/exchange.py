@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import io
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from ..session import ship  # noqa: F401
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -19,9 +19,12 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where none is configured."""
+    """The folder that driver and executors share; where none is configured, an own one if all runs on this machine."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="tallyflow-")
         shared_dir.own = set_dir
     return set_dir.rstrip("/")
@@ -57,7 +60,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 def text_bytes(docs: DataFrame, text_col: str) -> int:
-    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return docs.agg(F.sum(F.octet_length(quoted(text_col)))).first()[0] or 0
 
 
 def block_count(spark: SparkSession, total: int, each: int = 8 << 20, least: int = 1 << 20) -> int:
@@ -86,22 +89,6 @@ def lookup(rows: DataFrame, table: DataFrame, on: dict[str, Column], table_on: d
     return left.join(right.hint("merge"), list(on), how).drop(*on)
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors this package (once a context), wherever the driver runs from."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tallyflow_shipped", None) is None:
-        top = Path(__file__).resolve().parents[1]
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f"{top.name}/{f.relative_to(top)}")
-        target = Path(tempfile.mkdtemp(prefix="tallyflow-code-")) / "tallyflow_code.zip"
-        target.write_bytes(held.getvalue())
-        sc.addPyFile(str(target))
-        sc._tallyflow_shipped = str(target)
-    return spark
-
-
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -116,7 +103,7 @@ def annotate(df: DataFrame, keep: list[str], inputs: dict[str, Column], fn: Call
     """
     names = list(out)
     df = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], *[e.alias(f"i{i}") for i, e in enumerate(inputs.values())])
-    schema = ", ".join([f"k{i} {df.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))] + [f"o{i} {t}" for i, t in enumerate(out.values())])
+    schema = StructType([StructField(f"k{i}", df.schema[f"k{i}"].dataType) for i in range(len(keep))] + StructType.fromDDL(", ".join(f"o{i} {t}" for i, t in enumerate(out.values()))).fields)
     asked, n = list(inputs), len(keep)
 
     def run(batches):

@@ -19,13 +19,20 @@ Where that leaves a bucket in several classes, its members outside the largest
 class are compared by finer signatures with all members of other classes, in
 tasks that hold pairs of chunks of a bucket; pairs that agree in ``COARSE`` of
 the first ``GLANCE`` registers and in ``SCREEN`` of all ``FINE`` (at 0.8 fewer
-agree with probability 8e-5 and 4e-5) are verified too.  So every pair of members is in one class, or was compared and is no
-link, and a bucket of copies costs its size.
+agree with probability 6e-6 each) are verified too.  So every pair of members
+is in one class, or was compared and is no link, and a bucket of copies costs
+its size.
+
+Rows get numbers when they are signed and written; these, not the ids, tell
+documents apart from then on.
 
 Edge cases: null and empty texts, and those of white space, have no shingles
-and are classes of their own.  A text of fewer than five words is one shingle.
-Rows with equal ids are one document.  Rows with a null id stay unlinked, with
-a null class, and are kept.
+and are classes of their own, kept.  A text of fewer than five words is one
+shingle.  Rows with equal ids are documents like others: of different texts
+they may be in different classes, of equal texts one row is kept.  A null id
+counts as larger than any other; a class of null ids only has a null class id,
+and one row of it is kept.  Extra columns may have any names and types.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,8 +47,8 @@ from . import components, exchange, words
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 6, 40
-FINE, SCREEN = 1024, 0.75
-GLANCE, COARSE = 256, 0.7
+FINE, SCREEN = 1024, 0.745
+GLANCE, COARSE = 256, 0.69
 CHUNK = 1024
 PIECE = 2 << 20
 
@@ -201,62 +208,124 @@ def _comparer(similarity: float):
     return compare
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of ``docs``: ``id``, ``class_id`` (the smallest id of its class), ``kept`` (it is that one)."""
-    exchange.ship(docs.sparkSession)
-    rows = docs.select(exchange.quoted(id_col).cast("long").alias("id"), exchange.quoted(text_col).alias("text"))
-    signed = exchange.materialize(exchange.annotate(rows, ["id"], {"text": F.col("text")}, _sign, {"t1": "long", "t2": "long", "bands": "array<long>"}), "signed")
-    usable = signed.where("bands is not null and id is not null")
-    reps = exchange.materialize(usable.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "texts")
-    spread = reps.select("rep", F.explode("bands").alias("bucket"))
+def _signed(docs: DataFrame, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
+    """Each row with a number, its text, the ``rest`` columns as a struct, the text's 128-bit content hash and its bands."""
+    rows = docs.select(
+        exchange.quoted(id_col).cast("long").alias("id"),
+        exchange.quoted(text_col).cast("string").alias("text"),
+        F.struct(F.lit(0).alias("none"), *[exchange.quoted(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"),
+    ).withColumn("row", F.monotonically_increasing_id())
+    made = exchange.annotate(rows, ["row", "id", "text", "rest"], {"text": F.col("text")}, _sign, {"t1": "long", "t2": "long", "bands": "array<long>"})
+    return exchange.materialize(made, "signed")
+
+
+def _bucket_members(texts: DataFrame) -> DataFrame:
+    """(bucket, rep, n, centre) of all buckets with more than one distinct text."""
+    spread = texts.select("rep", F.explode("bands").alias("bucket"))
     counts = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("b"), "n")
-    shared = exchange.materialize(exchange.lookup(spread, counts, {"key": F.bitwise_not("bucket")}, {"key": F.bitwise_not("b")}, "inner").select("bucket", "rep", "n"), "shared")
+    shared = exchange.lookup(spread, counts, {"key": F.bitwise_not("bucket")}, {"key": F.bitwise_not("b")}, "inner")
+    shared = exchange.materialize(shared.select("bucket", "rep", "n"), "shared")
     reach = shared.groupBy("rep").agg(F.sum("n").alias("reach")).withColumnRenamed("rep", "r")
     ranked = shared.join(reach.hint("merge"), F.col("rep") == F.col("r")).drop("r")
-    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("reach", (-F.col("rep")).alias("rep"))).alias("m")).select(F.col("bucket").alias("b"), (-F.col("m.rep")).alias("centre"))
-    members = exchange.materialize(exchange.lookup(shared, hubs, {"key": F.bitwise_not("bucket")}, {"key": F.bitwise_not("b")}, "inner").select("bucket", "rep", "n", "centre"), "members")
-
-    wanted = members.select("rep").distinct()
-    texts = rows.join(wanted, rows.id == wanted.rep, "left_semi")
-    shingled = exchange.materialize(exchange.annotate(texts, ["id"], {"text": F.col("text")}, _weigh, {"keys": "binary", "weights": "binary"}), "shingled")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar; documents meet by pairs of blocks, so one with many partners is not sent for each."""
-        blocks = F.lit(max(1, -(-pairs.count() // 2048)))
-        pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), blocks).alias("ba"), F.pmod(F.xxhash64("b"), blocks).alias("bb"))
-        wants = pairs.select(F.col("a").alias("want"), "ba", "bb").unionByName(pairs.select(F.col("b").alias("want"), "ba", "bb")).distinct()
-        sent = exchange.lookup(wants, shingled, {"key": F.bitwise_not("want")}, {"key": F.bitwise_not("id")}, "inner").select(F.col("ba").alias("xa"), F.col("bb").alias("xb"), "id", "keys", "weights")
-        return pairs.groupBy("ba", "bb").cogroup(sent.groupBy("xa", "xb")).applyInArrow(_comparer(similarity), "a long, b long")
-
-    def pair(x: str, y: str):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-    tables: list[DataFrame] = []  # those that later rounds add
-    tested = exchange.materialize(members.where("rep <> centre").select(*pair("rep", "centre")).distinct(), "pairs")
-    links = exchange.materialize(verify(tested), "verified")
-    tables += [tested, links]
-    classes = exchange.materialize(components.connected_components(links), "classes")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("reach", (-F.col("rep")).alias("rep"))).alias("m"))
+    hubs = hubs.select(F.col("bucket").alias("b"), (-F.col("m.rep")).alias("centre"))
+    members = exchange.lookup(shared, hubs, {"key": F.bitwise_not("bucket")}, {"key": F.bitwise_not("b")}, "inner")
+    members = exchange.materialize(members.select("bucket", "rep", "n", "centre"), "members")
+    exchange.discard(shared)
+    return members
+
+
+def _verified(pairs: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that are similar; documents meet by pairs of blocks, so one with many partners is not sent for each."""
+    blocks = F.lit(max(1, -(-pairs.count() // 2048)))
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), blocks).alias("ba"), F.pmod(F.xxhash64("b"), blocks).alias("bb"))
+    wants = pairs.select(F.col("a").alias("want"), "ba", "bb").unionByName(pairs.select(F.col("b").alias("want"), "ba", "bb")).distinct()
+    sent = exchange.lookup(wants, shingled, {"key": F.bitwise_not("want")}, {"key": F.bitwise_not("id")}, "inner")
+    sent = sent.select(F.col("ba").alias("xa"), F.col("bb").alias("xb"), "id", "keys", "weights")
+    return pairs.groupBy("ba", "bb").cogroup(sent.groupBy("xa", "xb")).applyInArrow(_comparer(similarity), "a long, b long")
+
+
+def _split_buckets(members: DataFrame, classes: DataFrame, chunk: int) -> DataFrame:
+    """Members of buckets that are still in several classes, once for each pair of chunks that they take part in."""
     known = exchange.lookup(members.where("n > 2").select("bucket", "rep"), classes, {"key": F.bitwise_not("rep")}, {"key": F.bitwise_not("node")})
     known = exchange.materialize(known.select("bucket", "rep", F.coalesce("component", "rep").alias("class")), "known")
     sizes = known.groupBy("bucket", "class").agg(F.count("*").alias("size"))
-    split = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("size").alias("all"), F.max(F.struct("size", "class")).alias("m")).where("classes > 1").select(F.col("bucket").alias("b"), F.col("m.class").alias("main"), F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks"))
-    open_ = exchange.lookup(known, split, {"key": F.bitwise_not("bucket")}, {"key": F.bitwise_not("b")}, "inner")
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    open_ = exchange.materialize(open_.select("bucket", "rep", "class", (F.col("class") == F.col("main")).alias("largest"), "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")), "open")
-    signs = shingled.join(open_.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
-    signs = exchange.annotate(signs, ["id"], {c: F.col(c) for c in ("keys", "weights")}, _resign, {"sign": "binary", "bands": "binary"}).withColumnRenamed("id", "signed_id")
-    parts = max(2 * exchange.shuffle_width(docs.sparkSession), open_.count() // 20_000)
-    dealt = exchange.lookup(open_, signs, {"key": F.bitwise_not("rep")}, {"key": F.bitwise_not("signed_id")}, "inner").drop("signed_id")
-    more = dealt.repartition(parts, "bucket", "low", "high").mapInArrow(_screen, "a long, b long").distinct()
-    more = exchange.materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-    new = exchange.materialize(verify(more), "verified")
-    tables += [known, open_, more, new]
+    split = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("size").alias("all"), F.max(F.struct("size", "class")).alias("m"))
+    split = split.where("classes > 1").select(F.col("bucket").alias("b"), F.col("m.class").alias("main"), F.ceil(F.col("all") / chunk).cast("int").alias("chunks"))
+    dealt = exchange.lookup(known, split, {"key": F.bitwise_not("bucket")}, {"key": F.bitwise_not("b")}, "inner")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("bucket", "rep", "class", (F.col("class") == F.col("main")).alias("largest"), "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    dealt = exchange.materialize(dealt, "open")
+    exchange.discard(known)
+    return dealt
+
+
+def _screened(dealt: DataFrame, shingled: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs of split buckets that the finer signatures let through and that were not tested yet."""
+    signs = shingled.join(dealt.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    signs = exchange.annotate(signs, ["id"], {c: F.col(c) for c in ("keys", "weights")}, _resign, {"sign": "binary", "bands": "binary"})
+    parts = max(2 * exchange.shuffle_width(dealt.sparkSession), dealt.count() // 20_000)
+    held = exchange.lookup(dealt, signs.withColumnRenamed("id", "signed_id"), {"key": F.bitwise_not("rep")}, {"key": F.bitwise_not("signed_id")}, "inner").drop("signed_id")
+    pairs = held.repartition(parts, "bucket", "low", "high").mapInArrow(_screen, "a long, b long").distinct()
+    return pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def _classified(signed: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """(row, id, class_id, kept) of all signed rows, written."""
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")
+    texts = signed.where("bands is not null").groupBy("t1", "t2").agg(best, F.first("bands").alias("bands"))
+    texts = exchange.materialize(texts.select("t1", "t2", F.col("best.no_id").alias("no_id"), F.col("best.id").alias("id"), F.col("best.row").alias("rep"), "bands"), "texts")
+    members = _bucket_members(texts)
+    wanted = members.select(F.col("rep").alias("row")).distinct()
+    shingled = signed.select("row", "text").join(wanted, "row", "left_semi").withColumnRenamed("row", "id")
+    shingled = exchange.materialize(exchange.annotate(shingled, ["id"], {"text": F.col("text")}, _weigh, {"keys": "binary", "weights": "binary"}), "shingled")
+
+    tested = members.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    tested = exchange.materialize(tested, "pairs")
+    links = exchange.materialize(_verified(tested, shingled, similarity), "verified")
+    classes = exchange.materialize(components.connected_components(links), "classes")
+    dealt = _split_buckets(members, classes, chunk)
+    more = exchange.materialize(_screened(dealt, shingled, tested), "pairs")
+    new = exchange.materialize(_verified(more, shingled, similarity), "verified")
+    exchange.discard(members, tested, dealt, more, shingled)
     if not exchange.is_empty(new):
-        tables.append(classes)
-        classes = exchange.materialize(components.connected_components(links.unionByName(new)), "classes")
-    named = exchange.lookup(reps.drop("bands"), classes, {"key": F.bitwise_not("rep")}, {"key": F.bitwise_not("node")}).select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.coalesce("component", "rep").alias("class_id"))
-    mine = F.when(F.col("bands").isNotNull() & F.col("id").isNotNull(), F.bitwise_not("t1")), F.when(F.col("bands").isNotNull() & F.col("id").isNotNull(), F.bitwise_not("t2"))
-    out = exchange.lookup(signed.withColumns({"x1": mine[0], "x2": mine[1]}).drop("bands"), named, {"k1": F.coalesce("x1", F.xxhash64("id", F.lit(1))), "k2": F.col("x2")}, {"k1": F.bitwise_not("u1"), "k2": F.bitwise_not("u2")})
-    out = exchange.materialize(out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce(F.coalesce("class_id", "id") == F.col("id"), F.lit(True)).alias("kept")), "result")
-    exchange.discard(signed, reps, shared, members, shingled, classes, *tables)
+        past, classes = classes, exchange.materialize(components.connected_components(links.unionByName(new)), "classes")
+        exchange.discard(past)
+    exchange.discard(links, new)
+
+    # the first row of each class, for its texts, for all rows
+    linked = classes.join(texts.select("rep", "no_id", "id").hint("merge"), F.col("node") == F.col("rep"))
+    firsts = linked.groupBy("component").agg(F.min(F.struct("no_id", "id", "rep")).alias("w"))
+    firsts = firsts.select(F.col("component").alias("c"), F.col("w.id").alias("class_id"), F.col("w.rep").alias("first"))
+    told = exchange.lookup(linked.select("node", "component"), firsts, {"key": F.bitwise_not("component")}, {"key": F.bitwise_not("c")}, "inner").select("node", "class_id", "first")
+    named = exchange.lookup(texts.select("t1", "t2", "id", "rep"), told, {"key": F.bitwise_not("rep")}, {"key": F.bitwise_not("node")})
+    alone = F.col("first").isNull()
+    named = named.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("first", "rep").alias("first"))
+    # rows without shingles get keys that no text has and that do not meet
+    has = F.col("bands").isNotNull()
+    rows = signed.select("row", "id", F.when(has, F.bitwise_not("t1")).otherwise(F.xxhash64("row")).alias("x1"), F.when(has, F.bitwise_not("t2")).alias("x2"))
+    out = exchange.lookup(rows, named, {"k1": F.col("x1"), "k2": F.col("x2")}, {"k1": F.bitwise_not("u1"), "k2": F.bitwise_not("u2")})
+    out = out.select("row", "id", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("first") == F.col("row"), F.lit(True)).alias("kept"))
+    out = exchange.materialize(out, "result")
+    exchange.discard(texts, classes)
     return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
+    """Per row of ``docs``: ``id``, ``class_id`` (the smallest id of its class), ``kept`` (true for one row a class, of that id)."""
+    exchange.ship(docs.sparkSession)
+    signed = _signed(docs, id_col, text_col, [])
+    out = _classified(signed, similarity, chunk)
+    exchange.discard(signed)
+    return out.drop("row")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that are kept, unchanged: one of each class."""
+    exchange.ship(docs.sparkSession)
+    rest = [c for c in docs.columns if c != text_col]
+    signed = _signed(docs, id_col, text_col, rest)
+    gone = _classified(signed, similarity, CHUNK).where("not kept").select("row")
+    back = {text_col: F.col("text")} | {c: F.col(f"rest.c{i}") for i, c in enumerate(rest)}
+    return signed.join(gone.hint("merge"), "row", "left_anti").select(*[back[c].alias(c) for c in docs.columns])
