@@ -9,7 +9,7 @@ that is at a cover place in both (7 places are tried, and 7 - 1 + 7 = 13).
 Only windows that hold an anchor known from a second document are then
 extended to the whole window and compared.
 
-Documents are dealt to blocks by their id.  A block sends each distinct key
+Documents are dealt to blocks by their id and text.  A block sends each distinct key
 once, packed by key range, whatever its number of copies, so a hot passage
 costs one key a block; the range's task answers with one bit a key.
 
@@ -18,9 +18,14 @@ costs one key a block; the range's task answers with one bit a key.
    the block's smallest id;  answer: is there a smaller id elsewhere?
 3. block: mark the words, cut them out.
 
+Windows are compared by two independent 64-bit hashes, not byte by byte.
+
 Edge cases: a null or empty text has no words and stays as it is.  Rows with
-equal ids count as one document and take nothing from each other.  A null id
-counts as larger than any other.  Extra columns are ignored.
+equal ids count as one document and take nothing from each other; so do rows
+without an id, which count as larger than any other.  Extra columns are
+ignored by ``substring_dedup`` and kept by ``without_repeats``, whatever their
+names and types.  An empty table gives no rows.  A text is held by one task
+with some 30 bytes a word.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import exchange, words
 
@@ -53,19 +59,20 @@ class _Block:
         data, offsets = words.text_buffers(table.column("text"))
         self.parts = [words.find_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words.WHITESPACE) for a, b in words.pieces(offsets)]
         self.base = [a for a, _ in words.pieces(offsets)]
+        self.hashes = [w.hashes() for w in self.parts]
 
     def anchors(self) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
         """Places and keys of anchors by piece; the distinct keys, and which of them two documents here have."""
         at, keys, ids = [], [], []
         cover = np.zeros(PERIOD, dtype=bool)
         cover[list(COVER)] = True
-        for w, base in zip(self.parts, self.base, strict=True):
-            p = words.window_starts(w, ANCHOR)
-            long = np.diff(w.first) >= WINDOW
-            p = p[cover[w.place[p] % PERIOD] & long[w.doc[p]]]
-            h = words.window_hashes(w.hashes(), ANCHOR)
+        for w, h, base in zip(self.parts, self.hashes, self.base, strict=True):
+            count = np.diff(w.first)
+            # a word that can begin an anchor: at a cover place, in a document with a window, and with six words to come
+            place = np.arange(len(w.start)) - np.repeat(w.first[:-1], count)
+            p = np.flatnonzero(cover[place % PERIOD] & (place <= np.repeat(np.where(count >= WINDOW, count - ANCHOR, -1), count)))
             at.append(p)
-            keys.append(h[p] & ~np.uint64(1) if len(p) else np.zeros(0, np.uint64))
+            keys.append(words.window_hashes(h, ANCHOR, at=p) & ~np.uint64(1))
             ids.append(self.ids[w.doc[p] + base])
         distinct, low, high = _spread(np.concatenate(keys or [np.zeros(0, np.uint64)]), np.concatenate(ids or [np.zeros(0, np.int64)]))
         return at, keys, distinct, low != high
@@ -75,16 +82,16 @@ class _Block:
         at, keys, distinct, _ = self.anchors()
         known = distinct[_unpack(bits, distinct, self.ranges)]
         out = []
-        for w, p, k in zip(self.parts, at, keys, strict=True):
-            hit = np.zeros(len(w.start) + PERIOD + 1, dtype=np.int32)
-            hit[p[_member(k, known)] + 1] = 1
-            seen = np.cumsum(hit)
-            q = words.window_starts(w, WINDOW)
-            q = q[seen[q + PERIOD] > seen[q]]
-            if len(q):
-                out.append((q, words.window_hashes(w.hashes(0), WINDOW)[q], words.window_hashes(w.hashes(1), WINDOW, 1)[q]))
-            else:
-                out.append((q, np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+        for w, h, p, k in zip(self.parts, self.hashes, at, keys, strict=True):
+            p = p[_member(k, known)]
+            # windows that hold such an anchor begin at it or up to six words before it
+            q = np.unique((p[:, None] - np.arange(PERIOD)).reshape(-1))
+            q = q[(q >= 0) & (q + WINDOW <= len(w.start))]
+            q = q[w.doc[q] == w.doc[q + WINDOW - 1]]
+            near = np.flatnonzero(_covered(q, len(w.start)))
+            other = np.zeros(len(w.start), np.uint64)
+            other[near] = w.hashes(1, near)
+            out.append((q, words.window_hashes(h, WINDOW, at=q), words.window_hashes(other, WINDOW, 1, at=q)))
         return out
 
     def candidates(self, found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +106,7 @@ class _Block:
 
 
 def _spread(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, ids = keys[order], ids[order]
     first = np.ones(len(keys), dtype=bool)
     first[1:] = keys[1:] != keys[:-1]
@@ -109,6 +116,12 @@ def _spread(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[at], np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
 
 
+def _covered(at: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` words a window that starts ``at`` covers."""
+    edge = np.bincount(at, minlength=n + 1) - np.bincount(at + WINDOW, minlength=n + 1)
+    return np.cumsum(edge)[:n] > 0
+
+
 def _member(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(keys), dtype=bool)
@@ -187,10 +200,11 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, with_text: bool, rest: C
     spark, passes = exchange.ship(docs.sparkSession), rest is not None
     total = exchange.text_bytes(docs, text_col)
     blocks, ranges = exchange.block_count(spark, total), exchange.block_count(spark, total, 16 << 20)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST_ID)).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text"))
-    if passes:
-        rows = docs.select(*[e.alias(a) for e, a in ((F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST_ID)), "id"), (F.col(id_col).isNull(), "no_id"), (F.col(text_col), "text"), (rest, "rest"))])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    number, text = exchange.quoted(id_col), exchange.quoted(text_col)
+    columns = [F.coalesce(number.cast("long"), F.lit(LARGEST_ID)).alias("id"), number.isNull().alias("no_id"), text.alias("text")]
+    rows = docs.select(*columns, *([rest.alias("rest")] if passes else []))
+    # by id and text, so that different rows without an id, or with the same one, do not all meet
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     def send_anchors(key, table):
         _, _, distinct, twice = _Block(table, ranges).anchors()
@@ -230,14 +244,11 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, with_text: bool, rest: C
         n_words, n_removed, digests, texts = [], [], [], []
         raw = table.column("text").combine_chunks()
         for i, w in enumerate(b.parts):
-            gone = np.zeros(len(w.start) + 1, dtype=np.int32)
+            gone = np.zeros(len(w.start), dtype=bool)
             if found and len(found[i][0]):
                 q, k1, k2 = found[i]
                 at = _find(h1, h2, k1, k2)
-                goes = q[smaller[at] | (low[at] < b.ids[w.doc[q] + b.base[i]])]
-                np.add.at(gone, goes, 1)
-                np.add.at(gone, goes + WINDOW, -1)
-            gone = np.cumsum(gone[:-1]) > 0
+                gone = _covered(q[smaller[at] | (low[at] < b.ids[w.doc[q] + b.base[i]])], len(w.start))
             lost = np.concatenate([[0], np.cumsum(gone)])
             per = np.diff(w.first)
             n_words += per.tolist()
@@ -259,7 +270,10 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, with_text: bool, rest: C
 
     a1 = rows.groupBy("block").applyInArrow(send_anchors, _PACKET).groupBy("part").applyInArrow(judge_anchors, _ANSWER)
     a2 = rows.groupBy("block").cogroup(a1.groupBy("block")).applyInArrow(send_windows, _PACKET).groupBy("part").applyInArrow(judge_windows, _ANSWER)
-    return rows.groupBy("block").cogroup(a1.unionByName(a2).groupBy("block")).applyInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + (f", rest {rows.schema['rest'].dataType.simpleString()}" if passes else ""))
+    schema = StructType.fromDDL("id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    if passes:
+        schema = schema.add("rest", rows.schema["rest"].dataType)
+    return rows.groupBy("block").cogroup(a1.unionByName(a2).groupBy("block")).applyInArrow(cut, schema)
 
 
 def _joined(whole: bytes, w: words.Words, keep: np.ndarray) -> bytes:

@@ -45,6 +45,9 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
+_length_salt = [mix(np.arange(LONG_WORD + 1, dtype=U64), 0x51ED270B * (which + 1)) for which in (0, 1)]
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -82,27 +85,28 @@ class Words:
     def place(self) -> np.ndarray:
         return np.arange(len(self.start)) - self.first[self.doc]
 
-    def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; ``which`` picks one of two independent ones.
+    def hashes(self, which: int = 0, at: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes (or of the words ``at``); ``which`` picks one of two independent ones.
 
         Words are taken in eight bytes at a time, each time mixed by a
         bijection that no polynomial describes, so texts made to collide under
         a sum of powers do not collide here.
         """
-        size = self.end - self.start
-        h = mix(size.astype(U64), 0x51ED270B * (which + 1))
-        if not len(h):
-            return h
+        start, size = (self.start, self.end - self.start) if at is None else (self.start[at], self.end[at] - self.start[at])
+        if not len(start):
+            return np.zeros(0, U64)
         padded = np.concatenate([self.data, np.zeros(LANE, np.uint8)])
         lanes = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
-        live, done = np.flatnonzero(size < LONG_WORD), 0
+        salt = 0x2F7A9C35 * (which + 1)
+        h = mix((lanes[start] & _lane_mask[np.minimum(size, LANE)]) ^ _length_salt[which][np.minimum(size, LONG_WORD)], salt)
+        live, done = np.flatnonzero((size > LANE) & (size < LONG_WORD)), LANE
         while len(live):
             left = size[live] - done
-            lane = lanes[self.start[live] + done] & _lane_mask[np.minimum(left, LANE)]
-            h[live] = mix(h[live] ^ lane, 0x2F7A9C35 * (which + 1))
+            lane = lanes[start[live] + done] & _lane_mask[np.minimum(left, LANE)]
+            h[live] = mix(h[live] ^ lane, salt)
             live, done = live[left > LANE], done + LANE
         for i in np.flatnonzero(size >= LONG_WORD).tolist():
-            digest = hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=LANE, salt=bytes([which]))
+            digest = hashlib.blake2b(self.data[start[i] : start[i] + size[i]], digest_size=LANE, salt=bytes([which]))
             h[i] = int.from_bytes(digest.digest(), "little")
         return h
 
@@ -126,16 +130,16 @@ def find_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, fo
     return Words(data, start, end, doc, first)
 
 
-def window_hashes(h: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
-    """Hash of ``width`` consecutive word hashes from each place (too short at the end: left out)."""
-    n = len(h) - width + 1
+def window_hashes(h: np.ndarray, width: int, salt: int = 0, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of ``width`` consecutive word hashes from each place, or from the places ``at`` (too short at the end: left out)."""
+    n = len(h) - width + 1 if at is None else len(at)
     if n <= 0:
         return np.zeros(0, U64)
     with np.errstate(over="ignore"):
         out = np.zeros(n, U64)
         weight = 0x2545F4914F6CDD1D + 2 * salt
         for k in range(width):
-            out += h[k : k + n] * U64(weight & 0xFFFFFFFFFFFFFFFF)
+            out += (h[k : k + n] if at is None else h[at + k]) * U64(weight & 0xFFFFFFFFFFFFFFFF)
             weight = weight * 0x5851F42D4C957F2D + 0x14057B7EF767814E
             weight = (weight | 1) & 0xFFFFFFFFFFFFFFFF
     return mix(out, salt)
