@@ -1,11 +1,12 @@
 """Language ID by compression (operator 6).
 
 For each language a zstandard raw-content dictionary is made of a bounded
-sample of labelled texts: of the labelled rows those with the smallest hashes
-of id and text, ``SAMPLE_DOCS`` a language at most, ``SAMPLE_CHARS`` characters
-of each.  Equal rows count once, so null or repeated ids neither crowd the
-sample nor lift its bound.  It holds the sample's words, the most frequent ones last, where
-references to them are shortest, and at most ``DICTIONARY_BYTES``.  All of a
+sample of labelled rows: those with the smallest hashes of id and text,
+``SAMPLE_DOCS`` a language at most, with their whole texts.  Equal rows count
+once, so null or repeated ids neither crowd the sample nor lift its bound.  The
+dictionary holds the sample's words, the most frequent ones last, where
+references to them are shortest, and at most ``DICTIONARY_BYTES``; words are
+counted by the executors, and the driver gets no more than can fit.  All of a
 text is encoded with every dictionary, in blocks of ``BLOCK_BYTES`` that each
 start from the dictionary; the language of the smallest sum of sizes wins.  The
 score is the margin ``1 - smallest / second``.  A text is rejected if it has no
@@ -41,9 +42,8 @@ from pyspark.sql import functions as F
 from . import exchange
 
 SAMPLE_DOCS = 96
-SAMPLE_CHARS = 6000
 DICTIONARY_BYTES = 8 << 10
-BLOCK_BYTES = 16 << 10  # with the dictionary well within the window of the coder
+BLOCK_BYTES = 2 << 10  # as long as an ordinary text, so longer ones have margins like it
 MARGIN = 0.001
 CODER = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 4, "window_log": 18, "hash_log": 16, "chain_log": 16, "search_log": 4, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
 UNDETERMINED = "und"
@@ -78,10 +78,20 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Col
     if not last:
         return {}
     below = F.create_map(*[F.lit(x) for kv in last.items() for x in kv])
-    sample = rows.where(F.col("h") <= below[F.col("lang")]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
-    seen: dict[str, Counter] = {}
-    for r in sample.collect():
-        seen.setdefault(r["lang"], Counter()).update(plain(r["text"]).split())
+    sample = rows.where(F.col("h") <= below[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+
+    def spell(batches):
+        """The words of each text with their numbers; a longer one than the dictionary is no help."""
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                n = Counter(w for w in plain(text.as_py()).split() if len(w) < DICTIONARY_BYTES - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["lang", "word", "n"])
+
+    spelled = sample.select("lang", "text").mapInArrow(spell, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    spelled = spelled.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= DICTIONARY_BYTES // 2)
+    seen: dict[str, Counter] = {lang: Counter() for lang in last}
+    for r in spelled.collect():
+        seen[r["lang"]][bytes(r["word"])] = r["n"]
     return {lang: dictionary(count) for lang, count in sorted(seen.items())}
 
 
