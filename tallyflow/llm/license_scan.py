@@ -16,16 +16,23 @@ Only windows near a key word are hashed.  Key words are chosen per template so
 that its shingles without one are fewer than ``CONTAINMENT`` of all: every
 match holds a key word, and none is lost.
 
-Everything runs as DataFrame expressions.  Templates are an argument of the
-plan, bounded by ``MOST_TEMPLATES``, and the only side that is broadcast.
+Everything runs as DataFrame expressions.  Texts are cut to windows once; these
+are written with a number for each row, by which matches come back.  Templates
+are an argument of the plan, ``MOST_TEMPLATES`` at a time, and the only side
+that is broadcast.
 
 Edge cases: null and empty texts match nothing; each row of the table gets its
-own result; rows with a null id or with equal ids are scanned like others.
+own result, also where ids are null or equal and where whole rows are repeated.
+Extra columns are ignored by ``license_scan`` and kept by ``license_matches``,
+whatever their names.  An empty table gives no rows, and without a template
+nothing matches.  A notice inside a very long text is found like any other.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +59,23 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "BSD-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Apache-2.0-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "MIT-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-3-Clause-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "GPL-2.0": "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    "GPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LGPL": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-3.0": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
 }
 
 
@@ -104,48 +128,96 @@ def _bands(shingles: Column) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*least[b * ROWS : (b + 1) * ROWS]).alias("bucket")) for b in range(BANDS)])
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Verified matches: ``keep`` columns, license_id, window_start (in words), containment."""
-    spark = docs.sparkSession
+def _let(value: Column, body) -> Column:
+    """``body`` of a column that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(text: Column, sizes: dict[int, set[str]]) -> Column:
+    """Array of (t, window_start, words): the windows near a key word, for templates of each length t."""
+    every = sorted(set().union(*sizes.values()))
+    classes = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(stride(t)).alias("s"), F.array(*map(F.lit, sorted(k))).alias("keys")) for t, k in sorted(sizes.items())])
+
+    def of_class(words: Column, held: Column, c: Column) -> Column:
+        t, s = c["t"], c["s"]
+        at = F.filter(held, lambda i: F.array_contains(c["keys"], F.get(words, i)))
+        near = F.flatten(F.transform(at, lambda p: F.sequence(F.floor(F.greatest(p - t - s + 2, F.lit(0)) / s).cast("int"), F.floor(p / s).cast("int"))))
+        cut = F.transform(F.array_distinct(near), lambda k: F.struct(t.alias("t"), (k * s).alias("window_start"), F.slice(words, k * s + 1, t + s - 1).alias("w")))
+        return F.filter(cut, lambda x: F.size(x["w"]) >= F.least(F.lit(SHINGLE), t))
+
+    def of_words(words: Column) -> Column:
+        held = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(F.array(*map(F.lit, every)), F.get(words, i)))
+        return _let(held, lambda at: F.flatten(F.transform(classes, lambda c: of_class(words, at, c))))
+
+    # few texts hold a key word at all, be it in another word or case; the others are not cut to words
+    least = [w for w in every if not any(v != w and v in w for v in every)]
+    low = F.lower(text)
+    may = functools.reduce(operator.or_, [low.contains(w) for w in least])
+    return F.when(may, _let(_words(text), lambda w: F.when(F.size(w) > 0, of_words(w))))
+
+
+def _judged(windows: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    """(t, w, license_id, containment) of each distinct window that matches a template."""
+    spark = windows.sparkSession
+    notes = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(len(w)).alias("t"), F.array(*map(F.lit, w)).alias("w")) for k, w in wanted.items()])
+    notes = spark.range(1).select(F.explode(notes).alias("n")).select("n.license_id", F.col("n.t").alias("nt"), _shingles(F.col("n.w")).alias("template"))
+    keys = notes.withColumn("y", F.explode(_bands(F.col("template"))))
+    distinct = windows.select("t", "w").distinct().withColumn("shingles", _shingles(F.col("w")))
+    banded = distinct.withColumn("x", F.explode(_bands(F.col("shingles"))))
+    same = (F.col("t") == F.col("nt")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket"))
+    hits = banded.join(F.broadcast(keys), same).select("t", "w", "shingles", "license_id", "template").distinct()
+    share = F.size(F.array_intersect("shingles", "template")) / F.size("template")
+    return hits.select("t", "w", "license_id", share.alias("containment")).where(F.col("containment") >= CONTAINMENT - 1e-9)
+
+
+def _scanned(docs: DataFrame, templates: dict[str, str] | None, text_col: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows with numbers and the ``keep`` columns as c0, c1, ...; and their matches: row, license_id, window_start, containment."""
     wanted = {k: words_of(t) for k, t in (TEMPLATES if templates is None else templates).items()}
     wanted = {k: w for k, w in wanted.items() if w}
-    if len(wanted) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates: scan in several calls")
+    kept = [exchange.quoted(c).alias(f"c{i}") for i, c in enumerate(keep)]
+    found = None
+    names = sorted(wanted)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *kept, exchange.quoted(text_col).cast("string").alias("text"))
+    groups = [names[a : a + MOST_TEMPLATES] for a in range(0, len(names), MOST_TEMPLATES)] or [[]]
+    plans = []
+    for g, group in enumerate(groups):
+        sizes: dict[int, set[str]] = {}
+        for k in group:
+            sizes.setdefault(len(wanted[k]), set()).update(key_words(wanted[k]))
+        none = F.lit(None).cast("array<struct<t:int,window_start:int,w:array<string>>>")
+        rows = rows.withColumn(f"windows{g}", _windows(F.col("text"), sizes) if sizes else none)
+        plans.append({k: wanted[k] for k in group})
+    # written once: it fixes the row numbers, and texts are cut to words once only
+    rows = exchange.materialize(rows.drop("text"), "windows")
+    for g, group in enumerate(plans):
+        windows = rows.select("row", F.inline(f"windows{g}"))
+        if not group:
+            here = windows.select("row", F.lit("").alias("license_id"), "window_start", F.lit(0.0).alias("containment"))
+        else:
+            hits = _judged(windows, group).groupBy("t", "w").agg(F.collect_list(F.struct("license_id", "containment")).alias("found"))
+            hits = hits.select(F.col("t").alias("ht"), F.col("w").alias("hw"), "found")
+            held = exchange.lookup(windows, hits, {"key": F.reverse("w"), "key2": -F.col("t")}, {"key": F.reverse("hw"), "key2": -F.col("ht")}, "inner")
+            here = held.select("row", "window_start", F.inline("found")).select("row", "license_id", "window_start", "containment")
+        found = here if found is None else found.unionByName(here)
+    return rows, found
+
+
+def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Verified matches: ``keep`` columns (all if none are named), license_id, window_start (in words), containment.
+
+    A kept column with the name of one of these three is left out.
+    """
     keep = docs.columns if keep is None else keep
-    inner = [f"k{i}" for i in range(len(keep))]
-    sizes: dict[int, set[str]] = {}
-    for w in wanted.values():
-        sizes.setdefault(len(w), set()).update(key_words(w))
-    every = sorted(set().union(*sizes.values())) or ["\0"]
-    rows = docs.select(*[exchange.quoted(c).alias(i) for c, i in zip(keep, inner, strict=True)], exchange.quoted(text_col).alias("text"))
-    low = F.translate("text", UPPER, LOWER)
-    rows = rows.where(low.rlike("|".join(re.escape(w) for w in every))).select(*inner, _words(F.col("text")).alias("words"))
-    classes = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(stride(t)).alias("s"), F.array(*map(F.lit, sorted(k))).alias("keys")) for t, k in sorted(sizes.items())])
-    rows = rows.where(F.arrays_overlap("words", F.array(*map(F.lit, every)))).withColumn("c", F.explode(classes))
-    n, t, s = F.size("words"), F.col("c.t"), F.col("c.s")
-    at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(F.col("c.keys"), F.get("words", i)))
-    near = F.flatten(F.transform(at, lambda p: F.sequence(F.floor(F.greatest(p - t - s + 2, F.lit(0)) / s).cast("int"), F.floor(p / s).cast("int"))))
-    rows = rows.withColumn("k", F.explode(F.array_distinct(near)))
-    rows = rows.select(*inner, F.col("c.t").alias("t"), (F.col("k") * s).alias("window_start"), F.slice("words", F.col("k") * s + 1, t + s - 1).alias("w"))
-    rows = rows.where(F.size("w") >= F.least(F.lit(SHINGLE), F.col("t"))).select(*inner, "t", "window_start", _shingles(F.col("w")).alias("shingles"))
-    # equal windows (one notice in many documents) are hashed and judged once
-    distinct = rows.select("t", "shingles").distinct()
-    notes = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(len(w)).alias("t"), F.array(*map(F.lit, w)).alias("w")) for k, w in wanted.items()])).alias("n")).select("n.license_id", "n.t", _shingles(F.col("n.w")).alias("template")) if wanted else None
-    if notes is None:
-        return rows.where("false").select(*[F.col(i).alias(c) for c, i in zip(keep, inner, strict=True)], F.lit("").alias("license_id"), "window_start", F.lit(0.0).alias("containment"))
-    banded = distinct.select("t", "shingles", F.explode(_bands(F.col("shingles"))).alias("x")).select("t", "shingles", "x.band", "x.bucket")
-    keys = notes.select("license_id", F.col("t").alias("nt"), "template", F.explode(_bands(F.col("template"))).alias("y"))
-    hits = banded.join(F.broadcast(keys), (F.col("t") == F.col("nt")) & (F.col("band") == F.col("y.band")) & (F.col("bucket") == F.col("y.bucket"))).select("t", "shingles", "license_id", "template").distinct()
-    share = F.size(F.array_intersect("shingles", "template")) / F.size("template")
-    hits = hits.withColumn("containment", share).where(F.col("containment") >= CONTAINMENT - 1e-9)
-    hits = hits.groupBy("t", "shingles").agg(F.collect_list(F.struct("license_id", "containment")).alias("found"))
-    held = exchange.lookup(rows, hits.select(F.col("t").alias("ht"), F.col("shingles").alias("hs"), "found"), {"key": F.reverse("shingles"), "key2": -F.col("t")}, {"key": F.reverse("hs"), "key2": -F.col("ht")}, "inner")
-    return held.withColumn("f", F.explode("found")).select(*[F.col(i).alias(c) for c, i in zip(keep, inner, strict=True)], F.col("f.license_id").alias("license_id"), "window_start", F.col("f.containment").alias("containment"))
+    rows, found = _scanned(docs, templates, text_col, keep)
+    made = ("license_id", "window_start", "containment")
+    shown = rows.select(F.col("row").alias("r"), *[F.col(f"c{i}") for i in range(len(keep))])
+    held = found.join(shown.hint("merge"), F.col("row") == F.col("r"))
+    return held.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep) if c not in made], *made)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_licenses, license_ids (sorted, comma-joined; empty if none)."""
-    found = license_matches(docs, templates, text_col, [id_col]).groupBy(exchange.quoted(id_col).alias("m")).agg(F.sort_array(F.collect_set("license_id")).alias("ids"))
-    rows = docs.select(exchange.quoted(id_col).alias("doc_id"))
-    out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("m")), "left")
+    rows, found = _scanned(docs, templates, text_col, [id_col])
+    named = found.groupBy(F.col("row").alias("m")).agg(F.sort_array(F.collect_set("license_id")).alias("ids"))
+    out = rows.select("row", F.col("c0").alias("doc_id")).join(named.hint("merge"), F.col("row") == F.col("m"), "left")
     return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_licenses"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("license_ids"))
