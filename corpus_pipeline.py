@@ -10,7 +10,6 @@ travel along.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyflow.llm import decontaminate, exchange, langid, near_dup, packing, substring_dedup
 
@@ -22,10 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id."""
-    found = near_dup.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One document of each near-duplicate group: that with the smallest id; of repeated rows one."""
+    return near_dup.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
