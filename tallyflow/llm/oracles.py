@@ -62,3 +62,39 @@ SELECT any_value(doc_id) AS doc_id, count(id)::BIGINT AS n_licenses, coalesce(st
 
 
 ORACLES["op2_license_scan"] = _license_sql()
+
+# reach(a, b): b can be reached from a by links
+_REACH = """both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)"""
+
+# d: rows, t: distinct texts, s: their shingles with numbers, c: shared shingles of two texts with numbers x, y and totals tx, ty.
+# A shared shingle adds 1 / sum over all j of greatest(xj / x, yj / y): those with xj / yj >= x / y count by x, the others by y.
+# The sum of least(x / tx, y / ty) is no smaller than the similarity, and chooses the pairs that are worth it.
+ORACLES["op8_near_dup"] = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT arg_min(r, (doc_id IS NULL, doc_id, r)) AS t, w FROM d WHERE len(w) > 0 GROUP BY w),
+s AS MATERIALIZED (SELECT t, win, count(*)::DOUBLE AS n FROM (SELECT t, array_to_string(w[k : k + 4], ' ') AS win FROM t, range(1, greatest(len(w) - 3, 2)) AS u(k)) GROUP BY ALL),
+z AS MATERIALIZED (SELECT t, sum(n) AS total, max(n) AS most FROM s GROUP BY t),
+c AS MATERIALIZED (SELECT p.t AS a, q.t AS b, p.n AS x, q.n AS y, zp.total AS tx, zq.total AS ty, greatest(zp.most, zq.most) AS most
+  FROM s p JOIN s q ON p.win = q.win AND p.t < q.t JOIN z zp ON zp.t = p.t JOIN z zq ON zq.t = q.t),
+near AS (SELECT a, b FROM c GROUP BY a, b HAVING sum(least(x / tx, y / ty)) >= 0.8 - 1e-9),
+v AS (SELECT *, coalesce(sum(x) OVER below, 0) AS bx, coalesce(sum(y) OVER below, 0) AS ly, sum(y) OVER (PARTITION BY a, b) AS cy FROM c SEMI JOIN near USING (a, b)
+  WINDOW below AS (PARTITION BY a, b ORDER BY x / y RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP)),
+j AS (SELECT a, b, CASE WHEN any_value(most) = 1 THEN count(*) / (any_value(tx) + any_value(ty) - count(*)) ELSE sum(1 / ((tx - bx) / x + (ty - cy + ly) / y)) END AS similarity FROM v GROUP BY a, b),
+link AS MATERIALIZED (SELECT a, b FROM j WHERE similarity >= 0.8::DOUBLE),
+{_REACH},
+g AS (SELECT t, w, list_min(list(f)) AS f FROM (SELECT t.t, t.w, (d.doc_id IS NULL, d.doc_id, d.r) AS f FROM t JOIN d ON d.r = t.t UNION ALL SELECT t.t, t.w, (d.doc_id IS NULL, d.doc_id, d.r) FROM t JOIN reach ON reach.a = t.t JOIN d ON d.r = reach.b) GROUP BY t, w),
+o AS (SELECT d.r, d.doc_id, g.f FROM d LEFT JOIN g ON d.w = g.w)
+SELECT o.doc_id, CASE WHEN o.f IS NULL THEN o.doc_id ELSE e.doc_id END AS class_id, coalesce(e.r = o.r, true) AS kept FROM o LEFT JOIN d e ON e.r = o.f[3]
+"""
+
+ORACLES["op9_embedding_dup"] = f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ok AS MATERIALIZED (SELECT r, list_transform(v, lambda x: x / n) AS u FROM (SELECT r, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0) WHERE n > 0),
+link AS MATERIALIZED (SELECT p.r AS a, q.r AS b FROM ok p, ok q WHERE p.r < q.r AND CASE WHEN len(p.u) = len(q.u) THEN list_dot_product(p.u, q.u) >= 0.95::DOUBLE ELSE false END),
+{_REACH},
+n AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a),
+g AS (SELECT reach.a, min(e.vec_id) AS least FROM reach JOIN e ON e.r = reach.b GROUP BY reach.a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(least(e.vec_id, g.least), e.vec_id, g.least) AS component_id, coalesce(coalesce(least(e.vec_id, g.least), e.vec_id, g.least) = e.vec_id, true) AS kept
+FROM e LEFT JOIN n ON n.a = e.r LEFT JOIN g ON g.a = e.r
+"""
