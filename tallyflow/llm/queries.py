@@ -31,7 +31,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.normalise(spark, raw, whole)
     warc.remove(spark, raw)
     warc.write_index(spark, whole, index)
-    return warc.scan_records(spark, whole).drop("url", "payload")
+    return warc.resolved(warc.read_records(spark, whole, index))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,15 +15,21 @@ zero at the end, which gzip defines as padding).
 A file's size is that of a task's share of the rows; a task streams its
 records and holds one archive at a time.
 
+Payloads that are read back are compared with their digests, and revisits with
+the responses that they name.
+
 Edge cases: a null html is an empty payload.  A null url leaves its header
 out; control characters in it are percent-encoded.  Repeated page ids give
-repeated records.  A null page_id is written as such and read back as null.
-An empty table gives archives without records.
+repeated records.  A null page_id is written as such and read back as null; it
+is the response of no other page.  Of rows that share both the largest id and
+the payload all are responses.  Further columns are ignored, whatever their
+names.  An empty table gives archives without records.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import uuid
 import zlib
@@ -216,10 +222,14 @@ def write_index(spark: SparkSession, path: str, target: str) -> None:
 
 
 def read_records(spark: SparkSession, path: str, index: str) -> DataFrame:
-    """The records of normalised archives, each inflated at the place that the index gives."""
+    """The records of normalised archives, each inflated at the place that the index gives.
+
+    Archives meet their part of the index, two numbers a record; it is written
+    first, so its size is known: Spark sends it to all tasks if it is small.
+    """
     exchange.ship(spark)
     at = spark.read.schema(INDEX).parquet(index).groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at"))
-    held = archives(spark, path).join(at, "archive").select("content", "at")
+    held = archives(spark, path).join(exchange.materialize(at, "places"), "archive").select("content", "at")
 
     def read(batches):
         for b in batches:
@@ -238,11 +248,25 @@ def _decoded(raws: list[bytes]) -> pa.RecordBatch:
         head, _, payload = f["block"].partition(b"\r\n\r\n")
         size = int(re.search(rb"(?i)\r\nContent-Length: *(\d+)", head)[1])
         digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
+        if f["warc-type"] == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
+            raise ValueError(f"the payload of record {f['warc-record-id']} is not the one that was written")
         rows.append((page_of(f["warc-record-id"]), f.get("warc-target-uri"), size, digest, f["warc-type"], page_of(f.get("warc-refers-to")), None if f["warc-type"] == "revisit" else payload))
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """Records without payloads, where a revisit has the size of the response that it names, of the same digest; fails if there is none."""
+    names = [c for c in records.columns if c not in ("payload", "url")]
+    records = exchange.materialize(records.select(*names), "records")
+    revisit = F.col("record_type") == "revisit"
+    full = records.where(~revisit & F.col("page_id").isNotNull()).groupBy(F.col("page_id").alias("p"), F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("size"))
+    found = exchange.lookup(records.where(revisit), full, {"k1": F.bitwise_not("refers_to"), "k2": F.reverse("payload_digest")}, {"k1": F.bitwise_not("p"), "k2": F.reverse("d")})
+    missing = F.raise_error(F.lit("a revisit names a response that is not there")).cast("long")
+    found = found.withColumn("payload_bytes", F.coalesce("size", missing)).select(*names)
+    return records.where(~revisit).unionByName(found)
+
+
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of normalised archives, member after member, without the index."""
     exchange.ship(spark)
