@@ -17,7 +17,9 @@ a spanning forest of its links, not the pairs.
 
 Edge cases: null, empty and zero vectors and those with null or non-finite
 components link with nothing; so do vectors of different lengths.  Repeated
-rows are separate vectors.  A null vec_id counts as the largest.
+rows are separate vectors, also where their ids are equal.  A null vec_id
+counts as the largest.  A cosine of just the threshold is a link.  Further
+columns are ignored, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from . import components, exchange
 
 COSINE = 0.95
-WIDTH = 4.0
+WIDTH = 8.0  # of a cell, in distances at the threshold: fewest tables between 4 and 16
 RECALL = 1 - 6e-6
 MOST_TABLES = 256
 CHUNK = 512
@@ -153,8 +155,7 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         rep, tab, bucket, own, low, high, copies = (t.column(c).to_numpy() for c in ("rep", "tab", "bucket", "own", "low", "high", "copies"))
         order = np.lexsort((rep, high, low, bucket, tab))
         v = t.column("v").combine_chunks()
-        keys = hashed(v)
-        rep, tab, bucket, own, low, high, keys = (x[order] for x in (rep, tab, bucket, own, low, high, keys))
+        rep, tab, bucket, own, low, high = (x[order] for x in (rep, tab, bucket, own, low, high))
         new = np.ones(len(rep), dtype=bool)
         new[1:] = (tab[1:] != tab[:-1]) | (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         group = np.cumsum(new)
@@ -163,19 +164,31 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         for dim, (at, _) in units.items():
             dim_of[at], place[at] = dim, np.arange(len(at))
         dim_of, place = dim_of[order], place[order]
+        # keys are made anew for the vectors that have links here, each once
+        _, some, which = np.unique(rep, return_index=True, return_inverse=True)
+        keys, made_here = np.zeros((len(some), tables), np.uint64), np.zeros(len(some), dtype=bool)
+
+        def first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            a, b = which[x], which[y]
+            new = np.unique(np.concatenate([a, b]))
+            new = new[~made_here[new]]
+            if len(new):
+                keys[new], made_here[new] = hashed(v.take(pa.array(order[some[new]]))), True
+            return np.argmax(keys[a] == keys[b], axis=1)
+
         heads, tails = [], []
         for i, j in _pairs_of(group, own == low, own == high):
             for a in range(0, len(i), 1 << 15):
                 x, y = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
-                # only in the first table that both share
-                ok = (np.argmax(keys[x] == keys[y], axis=1) == tab[x]) & (dim_of[x] == dim_of[y])
-                x, y = x[ok], y[ok]
                 for dim, (_, u) in units.items():
-                    s = dim_of[x] == dim
+                    s = (dim_of[x] == dim) & (dim_of[y] == dim)
                     p, q = x[s], y[s]
                     near = np.einsum("ij,ij->i", u[place[p]], u[place[q]]) >= cosine
-                    heads.append(p[near])
-                    tails.append(q[near])
+                    p, q = p[near], q[near]
+                    if len(p):  # only in the first table that both share
+                        first = first_shared(p, q) == tab[p]
+                        heads.append(p[first])
+                        tails.append(q[first])
         if not heads:
             return
         a, b = np.concatenate(heads), np.concatenate(tails)
