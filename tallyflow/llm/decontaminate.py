@@ -10,19 +10,24 @@ A suffix can only match as far as its words occur in the benchmark at all, so
 the array leaves out suffixes that meet a foreign word before the shortest
 window ends; nothing that could match is lost.
 
-The benchmark is read in chunks of ``CHUNK_BYTES`` of text at most.  Each chunk
-goes to the tasks with the code of one narrow pass over the documents, so what
-is sent at once has that bound whatever the benchmark's size; there is no
-shuffle.
+The benchmark is streamed in chunks of ``CHUNK_BYTES`` of text at most.  Each
+chunk goes to the tasks with the code of one narrow pass over the documents;
+after ``CHUNKS_AT_ONCE`` of them the documents are written, so driver and plan
+hold that many chunks whatever the benchmark's size.  There is no shuffle.
 
 Edge cases: null and empty texts and items have no words and match nothing.
 Items of fewer than ten words are one window.  Items with equal ids count
-once; a null item id hits words but is not listed.
+once; a null item id hits words but is not listed.  Each row of ``docs`` is
+judged on its own, so null, equal and repeated ids change nothing.  Further
+columns may have any names; a kept one with the name of a result is replaced
+by it.  An empty table gives no rows, an empty benchmark hits nothing.  A long
+text is one shard, held by one task with some 100 bytes a word.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +40,7 @@ from . import exchange, words
 
 WINDOW = 10
 CHUNK_BYTES = 8 << 20
+CHUNKS_AT_ONCE = 8
 SHARD_BYTES = 2 << 20
 
 REPORT = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean"}
@@ -174,14 +180,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     exchange.ship(docs.sparkSession)
     keep = [id_col] if keep is None else keep
-    chunks = chunks_of(benchmark, item_id_col, item_text_col, chunk_bytes)
     # what one chunk's pass tells the next, under names that no column has
     mark, given = "__", docs.columns
     while any(c.startswith(mark) for c in given):
         mark += "_"
     state = {"mask": "binary", "items": "array<string>", "matches": MATCH}
-    for k, chunk in enumerate(chunks):
-        final = k == len(chunks) - 1
+    past = None
+    for k, (chunk, final) in enumerate(chunks_of(benchmark, item_id_col, item_text_col, chunk_bytes)):
+        if k and k % CHUNKS_AT_ONCE == 0:
+            docs = exchange.materialize(docs, "contamination")
+            exchange.discard(*([] if past is None else [past]))
+            past = docs
         inputs = {"text": exchange.quoted(text_col)} | ({c: F.col(f"{mark}{c}") for c in state} if k else {})
         out = REPORT | {"matches": MATCH} if final else {f"{mark}{c}": t for c, t in state.items()}
         look = _pass(chunk, final)
@@ -192,23 +201,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The rows that no window of the benchmark hits, unchanged."""
     exchange.ship(docs.sparkSession)
-    for chunk in chunks_of(benchmark, item_id_col, item_text_col, chunk_bytes):
+    past = None
+    for k, (chunk, _) in enumerate(chunks_of(benchmark, item_id_col, item_text_col, chunk_bytes)):
+        if k and k % CHUNKS_AT_ONCE == 0:
+            docs = exchange.materialize(docs, "contamination")
+            exchange.discard(*([] if past is None else [past]))
+            past = docs
         look = _pass(chunk, True)
         docs = exchange.kept_rows(docs, {"text": exchange.quoted(text_col)}, lambda b, look=look: pc.invert(look(b)["contaminated"]))
     return docs
 
 
-def chunks_of(benchmark: DataFrame, item_id_col: str, item_text_col: str, chunk_bytes: int) -> list[list[tuple]]:
-    """The test items in chunks of bounded text (an item larger than that stands alone)."""
-    chunks: list[list[tuple]] = [[]]
+def chunks_of(benchmark: DataFrame, item_id_col: str, item_text_col: str, chunk_bytes: int) -> Iterator[tuple[list[tuple], bool]]:
+    """The test items in chunks of bounded text (an item larger than that stands alone), and whether one is the last; one at least."""
+    chunk: list[tuple] = []
     held = 0
     for i, t in benchmark.select(exchange.quoted(item_id_col).cast("string"), exchange.quoted(item_text_col)).toLocalIterator():
-        if chunks[-1] and held + len(t or "") > chunk_bytes:
-            chunks.append([])
-            held = 0
-        chunks[-1].append((i, t))
-        held += len(t or "")
-    return chunks
+        size = len((t or "").encode("utf-8", "surrogatepass"))
+        if chunk and held + size > chunk_bytes:
+            yield chunk, False
+            chunk, held = [], 0
+        chunk.append((i, t))
+        held += size
+    yield chunk, True
 
 
 def _pass(chunk: list[tuple], final: bool):

@@ -164,6 +164,25 @@ def test_op3(spark, sf_dir, tmp_path):
     assert {r["page_id"]: r["payload_bytes"] for r in queries.op3_warc(spark, sf_dir).collect()} == {k: len((v or "").encode()) for k, v in pages.items()}
 
 
+def test_op3_finds_damage(spark, tmp_path):
+    rows = [(1, "u", "p" * 2000), (2, "u", "p" * 2000), (3, "v", "q" * 50)]
+    raw, out, index = (str(tmp_path / x) for x in ("raw", "out", "index"))
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, first int").coalesce(1)
+    warc.write_archives(warc.with_revisits(docs), raw)
+    warc.normalise(spark, raw, out)
+    warc.write_index(spark, out, index)
+    got = {r["page_id"]: r for r in warc.resolved(warc.read_records(spark, out, index)).collect()}
+    assert got[1]["payload_bytes"] == got[2]["payload_bytes"] == 2000 and got[1]["refers_to"] == 2
+    assert {r["page_id"] for r in warc.scan_records(spark, out).collect()} == {1, 2, 3}
+    alone = warc.read_records(spark, out, index).where("page_id <> 2")
+    with pytest.raises(Exception, match="names a response that is not there"):
+        warc.resolved(alone).collect()
+    good = warc.record(9, None, b"abc", hashlib.sha1(b"abc").hexdigest(), None)
+    assert warc._decoded([good]).to_pylist()[0]["payload"] == b"abc"
+    with pytest.raises(ValueError, match="not the one"):
+        warc._decoded([good.replace(b"abc", b"abd")])
+
+
 def test_op3_empty(spark, tmp_path):
     raw, out, index = (str(tmp_path / x) for x in ("raw", "out", "index"))
     warc.write_archives(warc.with_revisits(spark.createDataFrame([], "page_id long, url string, html string")), raw)
