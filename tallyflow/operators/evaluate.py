@@ -18,16 +18,27 @@ def evaluation_set(start_us: int, end_us: int, width_us: int = 60_000_000) -> Co
 
 
 def metrics(est: DataFrame, start_us: int, end_us: int, sketch: Sketch, width_us: int = 60_000_000, m: int = 6) -> DataFrame:
-    """One row: memory, mean relative error over the evaluation set, disagreements, error of the change, first detections and latency."""
+    """One row: memory, mean relative error over the evaluation set, disagreements, error of the change, first detections and latency.
+
+    Fails if no window is in the evaluation set, and if windows or totals are not those of the exact query.
+    """
     j, near = evaluation_set(start_us, end_us, width_us), context(start_us, end_us)
     first = lambda flag: F.min(F.when(F.col(flag) == 1, F.struct("win", "tau_us")))
+    extremes = [f(F.when(near, F.col(c))).alias(f"{n}_{c}") for n, f in (("max", F.max), ("min", F.min)) for c in ("estimate_delta", "exact_delta")]
     a = est.agg(
-        F.avg(F.when(j, F.col("rel_err"))).alias("mre"), F.count_if(F.col("matches_exact_hh") == 0).alias("hh_disagreements"), F.avg(F.when(near, F.abs(F.col("estimate_delta") - F.col("exact_delta")))).alias("mae"),
-        first("exact_hh").alias("fe"), first("estimate_hh").alias("fs"), *[f(F.when(near, F.col(c))).alias(f"{n}_{c}") for n, f in (("max", F.max), ("min", F.min)) for c in ("estimate_delta", "exact_delta")],
+        F.avg(F.when(j, F.col("rel_err"))).alias("mre"), F.count_if(F.col("matches_exact_hh") == 0).alias("hh_disagreements"),
+        F.avg(F.when(near, F.abs(F.col("estimate_delta") - F.col("exact_delta")))).alias("mae"), first("exact_hh").alias("fe"), first("estimate_hh").alias("fs"), *extremes,
         F.coalesce(F.bool_and((F.col("matches_exact_window") == 1) & (F.col("matches_exact_n") == 1)), F.lit(True)).alias("aligned"),
     )
     status = F.when(F.col("fs").isNull(), "not detected").when(F.col("fe").isNull(), None).when(F.col("fs.win") == F.col("fe.win"), "same window").when(F.col("fs.win") < F.col("fe.win"), "early false positive").otherwise("delay")
-    return a.select(F.lit(sketch.kind).alias("sketch"), F.lit(sketch.w).alias("width"), F.lit(memory_kb(sketch, m)).alias("memory_kb"), F.round(100 * F.col("mre"), 6).alias("mre_pct"), "hh_disagreements", F.round("mae", 6).alias("delta_mae"), F.col("fs.win").alias("first_win"), F.round((F.col("fs.tau_us") - start_us) / 1e6, 6).alias("latency_s"), status.alias("status"), "max_estimate_delta", "min_estimate_delta", "max_exact_delta", "min_exact_delta", "aligned")
+    fails = lambda why, t: F.raise_error(F.lit(why)).cast(t)
+    mre = F.when(F.col("mre").isNull(), fails("no window holds the key during the attack", "double")).otherwise(F.col("mre"))
+    aligned = F.when(~F.col("aligned"), fails("windows or totals are not those of the exact query", "boolean")).otherwise(F.lit(True))
+    return a.select(
+        F.lit(sketch.kind).alias("sketch"), F.lit(sketch.w).alias("width"), F.lit(memory_kb(sketch, m)).alias("memory_kb"), F.round(100 * mre, 6).alias("mre_pct"), "hh_disagreements",
+        F.round("mae", 6).alias("delta_mae"), F.col("fs.win").alias("first_win"), F.round((F.col("fs.tau_us") - start_us) / 1e6, 6).alias("latency_s"), status.alias("status"),
+        "max_estimate_delta", "min_estimate_delta", "max_exact_delta", "min_exact_delta", aligned.alias("aligned"),
+    )
 
 
 def memory_kb(sketch: Sketch, m: int = 6) -> float:

@@ -9,10 +9,11 @@ from __future__ import annotations
 import ipaddress
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import parse_ipv4
+from .. import shared
+from ..functions.keys import ipv4, parse_ipv4
 from ..schema import SYN, SYNTHETIC, TCP, TRACE
 from .stats import frequencies
 
@@ -80,16 +81,21 @@ def resolve_victim(base: DataFrame, rank: int = 1000, sample: int = 2_000_000) -
 def merge(base: DataFrame, attack: DataFrame) -> DataFrame:
     """Both in the order of time, base first at equal times, numbered anew.
 
-    Numbers are dense within ranges of time, whose sizes are counted first, so
-    no task sees more than its range.
+    Rows are dealt to sampled ranges of (time, side, number), so neither a
+    flood nor a time that many records share fills one task, and are sorted and
+    numbered within theirs.  That is written; then each range begins at the
+    count of those before it, one number a range.
     """
     rows = base.select(*TRACE.names).withColumn("late", F.lit(0)).unionByName(attack.select(*TRACE.names).withColumn("late", F.lit(1)))
-    from pyspark.sql import Window
-
-    rows = rows.withColumn("range", F.expr("ts_us div 60000000"))
-    before = rows.groupBy("range").agg(F.count("*").alias("n")).select(F.col("range").alias("r"), F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("ts_us", "late", "rec_no")) - 1
-    return rows.withColumn("place", place).join(before, F.col("range") == F.col("r")).select((F.col("before") + F.col("place")).alias("rec_no"), *TRACE.names[1:])
+    order = ("ts_us", "late", "rec_no")
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    part = F.shiftright("id", 33)
+    placed = shared.materialize(placed.withColumns({"range": part, "place": F.col("id") - F.shiftleft(part, 33)}).drop("id", "late"), "merged")
+    sizes = placed.groupBy(F.col("range").alias("r")).agg(F.count("*").alias("n"))
+    ahead = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("r", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(before), F.col("range") == F.col("r")).select((F.col("before") + F.col("place")).alias("rec_no"), *TRACE.names[1:])
 
 
 def per_second(attack: DataFrame, t0: int, duration: float) -> DataFrame:
@@ -98,9 +104,38 @@ def per_second(attack: DataFrame, t0: int, duration: float) -> DataFrame:
     return attack.sparkSession.range(math.ceil(duration)).select(F.col("id").alias("sec")).join(by, "sec", "outer").select("sec", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def ground_truth(base: DataFrame, attack: DataFrame, start_us: int, duration: float, pps: float, seed: int, about: dict[str, str]) -> DataFrame:
-    """One row on an injection: totals, interval, rates; ``about`` is added as a map."""
-    a = attack.agg(F.count("*").alias("packets"), F.sum(F.col("len").cast("long")).alias("bytes")).withColumn("one", F.lit(1))
-    b = base.agg(F.count("*").alias("base_records")).withColumn("one", F.lit(1))
-    s = per_second(attack, start_us, duration).agg(F.transform(F.sort_array(F.collect_list(F.struct("sec", "n"))), lambda x: x["n"]).alias("per_second")).withColumn("one", F.lit(1))
-    return a.join(b, "one").join(s, "one").select(F.lit(seed).alias("seed"), F.array(F.lit(start_us), F.lit(start_us + int(duration * 1e6))).alias("interval_us"), "packets", "bytes", F.lit(float(pps)).alias("pps"), "per_second", "base_records", (F.col("base_records") + F.col("packets")).alias("out_records"), F.round(F.col("packets") / (F.col("base_records") + F.col("packets")), 6).alias("synthetic_fraction"), F.create_map(*[F.lit(str(x)) for kv in about.items() for x in kv]).alias("attack"))
+def ddos_facts(victim: int, victim_rank: int | None, sources: int, prefix: str, port: int, seed: int) -> Column:
+    """The part of the ground truth on a flood; the first 20 source addresses are listed."""
+    dotted = str(ipaddress.IPv4Address(victim))
+    examples = F.array(*[ipv4(spread(F.lit(i), sources, prefix, seed)) for i in range(min(20, sources))])
+    expected = F.struct(F.lit(dotted).alias("por_destino"), F.lit("no concentrado; use /16 o el destino").alias("por_prefijo_origen_24"))
+    return F.struct(
+        F.lit("ddos").alias("tipo"), F.lit(dotted).alias("victima"), F.lit(victim_rank).cast("long").alias("victima_rango_previo"), F.lit(port).cast("long").alias("puerto_victima"),
+        F.lit(prefix).alias("prefijo_origen"), F.lit(sources).cast("long").alias("n_fuentes"), examples.alias("fuentes_ejemplo"), expected.alias("clave_esperada"),
+    )
+
+
+def scan_facts(attacker: str, targets: int, prefix: str, port: int) -> Column:
+    """The part of the ground truth on a scan."""
+    return F.struct(
+        F.lit("scan").alias("tipo"), F.lit(attacker).alias("atacante"), F.lit(prefix).alias("prefijo_destino"), F.lit(targets).cast("long").alias("n_destinos"),
+        F.lit(port).cast("long").alias("puerto"), F.struct(F.lit(attacker).alias("por_origen")).alias("clave_esperada"),
+    )
+
+
+def ground_truth(base: DataFrame, attack: DataFrame, start: float, duration: float, pps: float, seed: int, facts: Column, base_path: str = "", out_path: str = "") -> DataFrame:
+    """One row, the document on an injection (its names are fixed); ``start`` counts in seconds from the first record."""
+    t0 = check_interval(base, start, duration)
+    one = lambda df: df.withColumn("one", F.lit(1))  # noqa: E731  each side is one row
+    a = one(attack.agg(F.count("*").alias("packets"), F.coalesce(F.sum(F.col("len").cast("long")), F.lit(0)).alias("bytes"), F.max("ts_us").alias("last")))
+    b = one(base.agg(F.count("*").alias("base_records")))
+    seconds = F.transform(F.sort_array(F.collect_list(F.struct("sec", "n"))), lambda x: x["n"])
+    s = one(per_second(attack, t0, duration).agg(seconds.alias("per_second")))
+    total = F.col("base_records") + F.col("packets")
+    return a.join(b, "one").join(s, "one").select(
+        F.lit(base_path).alias("traza_base"), F.lit(out_path).alias("traza_salida"), F.lit(seed).cast("long").alias("semilla"),
+        F.array(F.lit(t0).cast("long"), F.col("last")).alias("ventana_ataque_us"), F.array(F.lit(float(start)), F.lit(float(start + duration))).alias("ventana_ataque_rel_s"),
+        F.col("packets").alias("paquetes_inyectados"), F.col("bytes").alias("bytes_inyectados"), F.lit(float(pps)).alias("pps_nominal"), F.col("per_second").alias("paquetes_por_segundo_reales"),
+        F.col("base_records").alias("registros_base"), total.alias("registros_salida"), F.round(F.col("packets") / total, 6).alias("fraccion_sintetica"),
+        F.lit("bit 4 de flags (0x10) en cada paquete inyectado").alias("marca"), facts.alias("ataque"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..functions.murmur import murmur_column
-from .windows import Windows
+from .windows import Windows, arrival_order
 
 
 @dataclass(frozen=True)
@@ -80,30 +80,78 @@ def point(table: DataFrame, probes: DataFrame, sketch: Sketch, key: str = "key",
     return cells.select("key", (sketch.median("v") if median else sketch.estimate("v")).alias("estimate"))
 
 
-def detect(df: DataFrame, ip: str | int, sketch: Sketch, key: str = "src", pane: float = 10.0, m: int = 6, phi: float = 0.01, exact: DataFrame | None = None) -> DataFrame:
+def _grid(df: DataFrame, key: str, pane: float, m: int, phi: float, order: str) -> Windows:
+    """The detector's windows.  In arrival order a record at or before t0 is left out, and a later time closes windows even if the last record is earlier."""
+    g = Windows(df, key, "pkts", pane * m, pane, phi, order="event_time")
+    if order == "arrival":
+        g.df = arrival_order(df.where(F.col("ts_us") > g.t0))
+        top = g.df.agg(F.max("ts_us")).first()[0]
+        if top is not None:
+            g.last = max(g.last, -((g.t0 + g.width - top) // g.step) - 1)
+    elif order != "event_time":
+        raise ValueError(f"unknown order {order!r}")
+    return g
+
+
+def _estimates(g: Windows, sketches: list[Sketch], target: int, key: str, m: int) -> DataFrame:
+    """(sk, win, estimate_f, estimate_delta) of one key for each sketch (by its index), in one pass over the trace."""
+    k, probe = F.col("key"), F.lit(target).cast("long")
+    cells = F.filter(
+        F.array(*[
+            F.struct(F.lit(i).alias("sk"), F.lit(r).alias("row"), (s.bucket(k, r) == s.bucket(probe, r)).alias("hit"), (s.sign(k, r) * s.sign(probe, r)).alias("sign"))
+            for i, s in enumerate(sketches) for r in range(s.d)
+        ]),
+        lambda x: x["hit"],
+    )
+    per = g.panes(keys.key(key).alias("key")).select("q", "c", F.explode(cells).alias("x"))
+    per = per.groupBy("q", F.col("x.sk").alias("sk"), F.col("x.row").alias("row")).agg(F.sum(F.col("c") * F.col("x.sign")).alias("cnt"))
+    freq = g.to_windows(per).groupBy("win", "sk", "row").agg(F.sum("cnt").alias("f"))
+    enters = F.struct((F.col("q") - m).alias("win"), F.col("cnt").alias("c"))
+    leaves = F.struct(F.col("q").alias("win"), (-F.col("cnt")).alias("c"))
+    moves = per.withColumn("y", F.explode(F.array(enters, leaves))).select(F.col("y.win").alias("win"), "sk", "row", F.col("y.c").alias("c"))
+    delta = moves.where((F.col("win") >= 1) & (F.col("win") <= g.last)).groupBy("win", "sk", "row").agg(F.sum("c").alias("dlt"))
+    rows = F.array(*[F.struct(F.lit(i).alias("sk"), F.lit(r).alias("row")) for i, s in enumerate(sketches) for r in range(s.d)])
+    grid = g.spine().select("win", F.explode(rows).alias("x")).select("win", "x.sk", "x.row")
+    v = grid.join(freq, ["win", "sk", "row"], "left").join(delta, ["win", "sk", "row"], "left").groupBy("win", "sk")
+    v = v.agg(*[F.sort_array(F.collect_list(F.coalesce(c, F.lit(0)))).alias(n) for c, n in (("f", "fs"), ("dlt", "ds"))])  # d values
+    of = lambda made: F.coalesce(*[F.when(F.col("sk") == i, made(s)) for i, s in enumerate(sketches)])
+    return v.select("sk", "win", F.greatest(F.lit(0), of(lambda s: s.estimate("fs"))).cast("long").alias("estimate_f"), of(lambda s: s.median("ds")).cast("long").alias("estimate_delta"))
+
+
+def _reference(exact: DataFrame) -> DataFrame:
+    """One row a window and key of an exact query; fails on two."""
+    once = exact.groupBy("win", "key").agg(F.count("*").alias("n"), *[F.first(c).alias(a) for c, a in (("tau_us", "x_tau"), ("N", "x_n"), ("exact_f", "exact_f"), ("exact_hh", "exact_hh"), ("exact_delta", "exact_delta"))])
+    twice = F.raise_error(F.lit("the exact query has a window twice")).cast("long")
+    return once.select("win", "key", F.when(F.col("n") > 1, twice).otherwise(F.col("x_tau")).alias("x_tau"), "x_n", "exact_f", "exact_hh", F.coalesce("exact_delta", F.lit(0)).alias("exact_delta"))
+
+
+def detect_all(df: DataFrame, ip: str | int, sketches: list[Sketch], key: str = "src", pane: float = 10.0, m: int = 6, phi: float = 0.01, exact: DataFrame | None = None, order: str = "event_time") -> DataFrame:
+    """``detect`` for several sketches in one pass; ``sk`` is the sketch's index."""
+    g = _grid(df, key, pane, m, phi, order)
+    target = keys.parse_ipv4(ip, key)
+    out = g.totals().join(_estimates(g, sketches, target, key, m), "win")
+    out = out.withColumns({"key": keys.render(F.lit(target).cast("long"), key), "t_rel_s": F.round((F.col("tau_us") - g.t0) / F.lit(1e6), 6), "estimate_hh": (F.col("estimate_f") >= F.col("threshold")).cast("int")})
+    if exact is None:
+        exact = df.sparkSession.range(0).selectExpr("id win", "'' key", "id tau_us", "id N", "id exact_f", "0 exact_hh", "id exact_delta")
+    out = out.join(_reference(exact), ["win", "key"], "left")
+    miss = lambda c, t: F.coalesce(c.cast(t), F.lit(-1).cast(t))
+    gap = F.abs(F.col("exact_f") - F.col("estimate_f"))
+    relative = F.when(F.col("exact_f").isNull(), -1.0).when(F.col("exact_f") > 0, gap / F.col("exact_f")).otherwise(0.0)
+    return out.select(
+        "sk", "win", "tau_us", "t_rel_s", "key", "N", "threshold", "estimate_f", "estimate_hh", "estimate_delta",
+        miss(F.col("x_tau") == F.col("tau_us"), "int").alias("matches_exact_window"), miss(F.col("x_n") == F.col("N"), "int").alias("matches_exact_n"),
+        miss(F.col("exact_f"), "long").alias("exact_f"), miss(F.col("exact_hh"), "int").alias("exact_hh"), miss(F.col("exact_hh") == F.col("estimate_hh"), "int").alias("matches_exact_hh"),
+        miss(F.col("exact_delta"), "long").alias("exact_delta"), miss(gap, "long").alias("abs_err"), F.round(relative, 6).alias("rel_err"),
+    )
+
+
+def detect(df: DataFrame, ip: str | int, sketch: Sketch, key: str = "src", pane: float = 10.0, m: int = 6, phi: float = 0.01, exact: DataFrame | None = None, order: str = "event_time") -> DataFrame:
     """Per window: N, threshold, estimated frequency of one key, flag and signed change; beside ``exact`` (a point query) if given.
 
     Only the d cells of the key can matter, so counts are filtered to keys
     that collide with it before they are aggregated; the numbers are those of
     the whole sketch.  A pane adds to the change of the window it enters and
     takes from that of the window it leaves.  The first window's change is 0.
+    ``order`` "arrival" counts a late record when it comes, not by its time.
     """
-    g = Windows(df, key, "pkts", pane * m, pane, phi)
-    target = keys.parse_ipv4(ip, key)
-    k = F.col("key")
-    probe = F.lit(target).cast("long")
-    cells = F.filter(F.array(*[F.struct(F.lit(r).alias("row"), (sketch.bucket(k, r) == sketch.bucket(probe, r)).alias("hit"), (sketch.sign(k, r) * sketch.sign(probe, r)).alias("sign")) for r in range(sketch.d)]), lambda x: x["hit"])
-    panes = g.panes(keys.key(key).alias("key"))
-    per = panes.select("q", "c", F.explode(cells).alias("x")).groupBy("q", F.col("x.row").alias("row")).agg(F.sum(F.col("c") * F.col("x.sign")).alias("cnt"))
-    freq = g.to_windows(per).groupBy("win", "row").agg(F.sum("cnt").alias("f"))
-    moves = per.withColumn("y", F.explode(F.array(F.struct((F.col("q") - m).alias("win"), F.col("cnt").alias("c")), F.struct(F.col("q").alias("win"), (-F.col("cnt")).alias("c")))))
-    delta = moves.select(F.col("y.win").alias("win"), "row", F.col("y.c").alias("c")).where((F.col("win") >= 1) & (F.col("win") <= g.last)).groupBy("win", "row").agg(F.sum("c").alias("dlt"))
-    grid = g.spine().select("win", F.explode(F.sequence(F.lit(0), F.lit(sketch.d - 1))).alias("row"))
-    v = grid.join(freq, ["win", "row"], "left").join(delta, ["win", "row"], "left").groupBy("win").agg(F.sort_array(F.collect_list(F.coalesce("f", F.lit(0)))).alias("fs"), F.sort_array(F.collect_list(F.coalesce("dlt", F.lit(0)))).alias("ds"))
-    v = v.select("win", F.greatest(F.lit(0), sketch.estimate("fs")).cast("long").alias("estimate_f"), sketch.median("ds").cast("long").alias("estimate_delta"))
-    out = g.totals().join(v, "win").withColumns({"key": keys.render(probe, key), "t_rel_s": F.round((F.col("tau_us") - g.t0) / F.lit(1e6), 6), "estimate_hh": (F.col("estimate_f") >= F.col("threshold")).cast("int")})
-    ref = (exact.select(F.col("win"), F.col("key"), F.col("tau_us").alias("x_tau"), F.col("N").alias("x_n"), "exact_f", "exact_hh", F.coalesce("exact_delta", F.lit(0)).alias("exact_delta")) if exact is not None else df.sparkSession.range(0).selectExpr("id win", "'' key", "id x_tau", "id x_n", "id exact_f", "0 exact_hh", "id exact_delta"))
-    out = out.join(ref, ["win", "key"], "left")
-    miss = lambda c, t: F.coalesce(c.cast(t), F.lit(-1).cast(t))
-    gap = F.abs(F.col("exact_f") - F.col("estimate_f"))
-    return out.select("win", "tau_us", "t_rel_s", "key", "N", "threshold", "estimate_f", "estimate_hh", "estimate_delta", miss(F.col("x_tau") == F.col("tau_us"), "int").alias("matches_exact_window"), miss(F.col("x_n") == F.col("N"), "int").alias("matches_exact_n"), miss(F.col("exact_f"), "long").alias("exact_f"), miss(F.col("exact_hh"), "int").alias("exact_hh"), miss(F.col("exact_hh") == F.col("estimate_hh"), "int").alias("matches_exact_hh"), miss(F.col("exact_delta"), "long").alias("exact_delta"), miss(gap, "long").alias("abs_err"), F.round(F.when(F.col("exact_f").isNull(), -1.0).when(F.col("exact_f") > 0, gap / F.col("exact_f")).otherwise(0.0), 6).alias("rel_err"))
+    return detect_all(df, ip, [sketch], key, pane, m, phi, exact, order).drop("sk")

@@ -60,13 +60,15 @@ def profile(df: DataFrame, sender: int) -> DataFrame:
     """One row on an address as sender; with no packet sent only ``recv`` and ``sent`` are set."""
     sent, recv = F.col("src") == sender, F.col("dst") == sender
     syn = (F.col("proto") == TCP) & (F.col("flags").bitwiseAND(SYN) != 0) & (F.col("flags").bitwiseAND(ACK) == 0)
-    a = df.agg(
-        F.count("*").alias("n"), F.count_if(sent).alias("sent"), F.count_if(recv).alias("recv"), F.sum(F.when(sent, F.col("len").cast("long"))).alias("sent_bytes"), F.sum(F.when(recv, F.col("len").cast("long"))).alias("recv_bytes"),
+    whole = df.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
+    a = df.where(sent | recv).agg(
+        F.count_if(sent).alias("sent"), F.count_if(recv).alias("recv"), F.sum(F.when(sent, F.col("len").cast("long"))).alias("sent_bytes"), F.sum(F.when(recv, F.col("len").cast("long"))).alias("recv_bytes"),
         F.min(F.when(sent, F.col("len"))).alias("len_min"), F.max(F.when(sent, F.col("len"))).alias("len_max"), F.avg(F.when(sent, F.col("len"))).alias("len_avg"),
         F.min(F.when(sent, F.col("ts_us"))).alias("first"), F.max(F.when(sent, F.col("ts_us"))).alias("last"),
         F.count_if(sent & (F.col("proto") == TCP)).alias("tcp"), F.count_if(sent & syn).alias("syn_only"),
         F.count_distinct(F.when(sent, F.col("dst"))).alias("dsts"), F.count_distinct(F.when(sent, F.col("dst").bitwiseAND(F.lit(0xFFFFFF00)))).alias("dst24s"),
     )
+    a = a.withColumn("one", F.lit(1)).join(whole, "one")  # one row each
     some = F.col("sent") > 0
     span = (F.col("last") - F.col("first")) / 1e6
     return a.select("sent", "recv", "sent_bytes", "recv_bytes", "len_min", "len_max", F.round("len_avg", 6).alias("len_avg"), F.when(some, F.round(span, 6)).alias("span_s"), F.when(some, F.round(F.when(span > 0, F.col("sent") / span).otherwise(0.0), 6)).alias("mean_rate"), F.when(some, F.round(F.col("sent") / F.col("n"), 6)).alias("share"), F.when(some, ((F.col("recv") == 0) | (F.col("sent") > 20 * F.col("recv"))).cast("int")).alias("unidirectional"), F.when(some, F.col("tcp")).alias("tcp"), F.when(some, F.col("syn_only")).alias("syn_only"), F.when(some, (F.col("syn_only") > F.expr("tcp div 2")).cast("int")).alias("syn_flag"), F.when(some, F.col("dsts")).alias("dsts"), F.when(some, F.col("dst24s")).alias("dst24s"))

@@ -84,11 +84,14 @@ class Windows:
 
     def windows(self) -> DataFrame:
         """win, tau_us, N, distinct, threshold, n_hh."""
-        f = self.frequencies()
-        total = self.totals()
-        per = f.join(total.select("win", "threshold"), "win").groupBy("win").agg(F.count("*").alias("distinct"), F.count_if(F.col("f") >= F.col("threshold")).alias("n_hh"))
-        out = total.join(per, "win", "left")
-        return out.select("win", "tau_us", "N", F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct"), "threshold", F.coalesce("n_hh", F.lit(0)).cast("long").alias("n_hh"))
+        # one pass: a window has few different frequencies, and its total is their sum
+        by = self.frequencies().groupBy("win", "f").agg(F.count("*").alias("keys"))
+        by = by.withColumn("N", F.sum(F.col("f") * F.col("keys")).over(Window.partitionBy("win")))
+        heavy = F.col("f") >= threshold(F.col("N"), self.phi)
+        per = by.groupBy("win").agg(F.max("N").alias("N"), F.sum("keys").alias("distinct"), F.sum(F.when(heavy, F.col("keys")).otherwise(0)).alias("n_hh"))
+        out = self.spine().join(per, "win", "left")
+        zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("N", "distinct", "n_hh")}
+        return out.withColumns(zero).select("win", "tau_us", "N", "distinct", threshold(F.col("N"), self.phi).alias("threshold"), "n_hh")
 
     def topk(self, k: int = 20) -> DataFrame:
         """win, tau_us, rank, key, count, is_hh; equal counts by ascending key."""

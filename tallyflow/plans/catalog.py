@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import keys, murmur
-from ..operators import evaluate, inject, sketch, stats
+from ..operators import evaluate, experiment, inject, sketch, stats
 from ..operators.sketch import Sketch
 from ..operators.windows import Windows
+from ..sources import pcap, tables, trace24
 from ..sources.tables import from_events, from_lineitem
 
 HOUR = 3600.0
@@ -155,8 +158,8 @@ def cells_sql(counts: str, keep: str, sk: Sketch) -> str:
     return f"SELECT {keep}, row, bucket, (CASE WHEN h & 1 = 1 THEN -1 ELSE 1 END)::BIGINT AS sign FROM ({murmur_sql(both, f'{keep}, row, bucket', 'key', 'seed2')})"
 
 
-def table_sql(sk: Sketch, where: str = "true", key: str = "dst") -> str:
-    return f"WITH {TRACE_SQL}, f AS (SELECT {key} AS key, count(*)::BIGINT AS c FROM trace WHERE {where} GROUP BY ALL), cells AS ({cells_sql('f', 'key, c', sk)}), tab AS (SELECT row::INT AS row, bucket, sum(c * sign)::BIGINT AS cnt FROM cells GROUP BY ALL) "
+def table_sql(sk: Sketch, count: str = "count(*)", key: str = "dst") -> str:
+    return f"WITH {TRACE_SQL}, f AS (SELECT {key} AS key, ({count})::BIGINT AS c FROM trace GROUP BY ALL), cells AS ({cells_sql('f', 'key, c', sk)}), tab AS (SELECT row::INT AS row, bucket, sum(c * sign)::BIGINT AS cnt FROM cells GROUP BY ALL) "
 
 
 def estimate_sql(sk: Sketch, v: str) -> str:
@@ -172,7 +175,8 @@ for _name, _sk in (("cms", CMS), ("cs", CS)):
     query(f"{_name}_table", table_sql(_sk) + "SELECT * FROM tab")(lambda s, d, k=_sk: sketch.build(_counts(s, d), k))
     query(f"{_name}_point", table_sql(_sk) + f"SELECT key, {estimate_sql(_sk, 'list(c.sign * coalesce(cnt, 0))')}::BIGINT AS estimate FROM cells c LEFT JOIN tab USING (row, bucket) GROUP BY key")(lambda s, d, k=_sk: (lambda c: sketch.point(sketch.build(c, k), c.select("key"), k))(_counts(s, d)))
     query(f"{_name}_merge", table_sql(_sk) + "SELECT * FROM tab")(lambda s, d, k=_sk: sketch.merge(sketch.build(_counts(s, d, where="rec_no % 2 = 0"), k), sketch.build(_counts(s, d, where="rec_no % 2 = 1"), k), k, k))
-    query(f"{_name}_subtract", table_sql(_sk, "rec_no % 2 = 1") + "SELECT * FROM tab")(lambda s, d, k=_sk: sketch.subtract(sketch.build(_counts(s, d), k), sketch.build(_counts(s, d, where="rec_no % 2 = 0"), k), k, k).join(sketch.build(_counts(s, d, where="rec_no % 2 = 1"), k).select("row", "bucket"), ["row", "bucket"], "left_semi"))
+    # every cell of the whole trace stays, with 0 where all records were taken away
+    query(f"{_name}_subtract", table_sql(_sk, count="count(*) FILTER (rec_no % 2 = 1)") + "SELECT * FROM tab")(lambda s, d, k=_sk: sketch.subtract(sketch.build(_counts(s, d), k), sketch.build(_counts(s, d, where="rec_no % 2 = 0"), k), k, k))
 
 
 def detector_sql(sk: Sketch, ip: int) -> str:
@@ -223,11 +227,93 @@ query("merge_union", GRID_SQL + f", u AS (SELECT rec_no, ts_us, dst, flags, 0 AS
 query("resolve_victim", f"WITH {TRACE_SQL}, f AS (SELECT dst, row_number() OVER (ORDER BY count(*) DESC, dst) - 1 AS r FROM trace WHERE rec_no < 2000000 GROUP BY dst) SELECT {ip_sql('dst')} AS victim FROM f WHERE r = least(10, (SELECT max(r) FROM f))")(lambda s, d: s.range(1).select(keys.ipv4(F.lit(inject.resolve_victim(from_events(s, d), 10))).alias("victim")))
 
 START, END = int(2 * DAY * 1e6), int(3 * DAY * 1e6)
+
+
+def evaluate_sql(sk: Sketch) -> str:
+    j = f"tau_us > t0 + {START} AND tau_us - {int(W * 1e6)} < t0 + {END} AND exact_f > 0"
+    near = f"tau_us BETWEEN t0 + {START} - 60000000 AND t0 + {END} + 61000000"
+    first = "min(win) FILTER (estimate_hh = 1)"
+    exact = "min(win) FILTER (exact_hh = 1)"
+    return detector_sql(sk, IPS[0]) + f"""SELECT '{sk.kind}' AS sketch, {sk.w} AS width, {evaluate.memory_kb(sk)!r}::DOUBLE AS memory_kb, round(100 * avg(rel_err) FILTER ({j}), 6) AS mre_pct,
+(count(*) FILTER (matches_exact_hh = 0))::BIGINT AS hh_disagreements, round(avg(abs(estimate_delta - exact_delta)) FILTER ({near}), 6) AS delta_mae, {first} AS first_win,
+round((min(tau_us) FILTER (estimate_hh = 1) - (any_value(t0) + {START})) / 1e6, 6) AS latency_s,
+CASE WHEN {first} IS NULL THEN 'not detected' WHEN {exact} IS NULL THEN NULL WHEN {first} = {exact} THEN 'same window' WHEN {first} < {exact} THEN 'early false positive' ELSE 'delay' END AS status,
+max(estimate_delta) FILTER ({near}) AS max_estimate_delta, min(estimate_delta) FILTER ({near}) AS min_estimate_delta, max(exact_delta) FILTER ({near}) AS max_exact_delta, min(exact_delta) FILTER ({near}) AS min_exact_delta,
+bool_and(matches_exact_window = 1 AND matches_exact_n = 1) AS aligned FROM est, b"""
+
+
 for _name, _sk in (("cms", CMS), ("cs", CS)):
-    _est = detector_sql(_sk, IPS[0])
-    _j = f"tau_us > t0 + {START} AND tau_us - {int(W * 1e6)} < t0 + {END} AND exact_f > 0"
-    _near = f"tau_us BETWEEN t0 + {START} - 60000000 AND t0 + {END} + 61000000"
-    query(f"evaluate_{_name}", _est + f"""SELECT '{_name}' AS sketch, {_sk.w} AS width, {evaluate.memory_kb(_sk)!r}::DOUBLE AS memory_kb, round(100 * avg(rel_err) FILTER ({_j}), 6) AS mre_pct, (count(*) FILTER (matches_exact_hh = 0))::BIGINT AS hh_disagreements, round(avg(abs(estimate_delta - exact_delta)) FILTER ({_near}), 6) AS delta_mae, min(win) FILTER (estimate_hh = 1) AS first_win, round((min(tau_us) FILTER (estimate_hh = 1) - (any_value(t0) + {START})) / 1e6, 6) AS latency_s,
-CASE WHEN min(win) FILTER (estimate_hh = 1) IS NULL THEN 'not detected' WHEN min(win) FILTER (exact_hh = 1) IS NULL THEN NULL WHEN min(win) FILTER (estimate_hh = 1) = min(win) FILTER (exact_hh = 1) THEN 'same window' WHEN min(win) FILTER (estimate_hh = 1) < min(win) FILTER (exact_hh = 1) THEN 'early false positive' ELSE 'delay' END AS status,
-max(estimate_delta) FILTER ({_near}) AS max_estimate_delta, min(estimate_delta) FILTER ({_near}) AS min_estimate_delta, max(exact_delta) FILTER ({_near}) AS max_exact_delta, min(exact_delta) FILTER ({_near}) AS min_exact_delta, true AS aligned FROM est, b""")(lambda s, d, k=_sk: (lambda t0: evaluate.metrics(detected(s, d, k), t0 + START, t0 + END, k, int(W * 1e6)))(_base(s, d)[1]))
+    query(f"evaluate_{_name}", evaluate_sql(_sk))(lambda s, d, k=_sk: (lambda t0: evaluate.metrics(detected(s, d, k), t0 + START, t0 + END, k, int(W * 1e6)))(_base(s, d)[1]))
+
+MATRIX = experiment.sketches((64, 256))
+CLEAN = experiment.sketches((4096,))
+
+
+def _matrix(s, d):
+    t, t0 = _base(s, d)
+    attack = experiment.Attack("FLOOD", t, IPS[0], "dst", t0 + START, t0 + END)
+    return experiment.matrix([attack], MATRIX, D, 6, PHI)
+
+
+def clean_sql(sk: Sketch) -> str:
+    return detector_sql(sk, IPS[0]) + f"SELECT 'events' AS scenario, '{sk.kind}' AS sketch, {sk.w} AS width, {evaluate.memory_kb(sk)!r}::DOUBLE AS memory_kb, round(avg(abs_err) FILTER (rel_err >= 0), 6) AS mean_abs_err, round(100 * avg(rel_err) FILTER (rel_err >= 0), 6) AS mre_pct FROM est"
+
+
+query("evaluate_matrix", " UNION ALL ".join(f"SELECT 'FLOOD' AS attack, * FROM ({evaluate_sql(k)})" for k in MATRIX))(_matrix)
+query("evaluate_clean", " UNION ALL ".join(f"SELECT * FROM ({clean_sql(k)})" for k in CLEAN))(lambda s, d: experiment.clean(from_events(s, d), IPS[0], "events", "dst", CLEAN, D, 6, PHI))
+query("detector_alone", detector_sql(CMS, IPS[0]) + "SELECT * EXCLUDE (matches_exact_window, matches_exact_n, exact_f, exact_hh, matches_exact_hh, exact_delta, abs_err, rel_err), -1 AS matches_exact_window, -1 AS matches_exact_n, -1::BIGINT AS exact_f, -1 AS exact_hh, -1 AS matches_exact_hh, -1::BIGINT AS exact_delta, -1::BIGINT AS abs_err, -1::DOUBLE AS rel_err FROM est")(
+    lambda s, d: sketch.detect(from_events(s, d), IPS[0], CMS, "dst", pane=D, m=6, phi=PHI)
+)
 query("memory_model", "SELECT w AS width, (8 * 5 * w * 4 + 48) / 1024 AS memory_kb FROM (SELECT unnest([256, 1024, 4096]) AS w)")(lambda s, d: s.createDataFrame([(w, evaluate.memory_kb(Sketch("cms", 5, w))) for w in (256, 1024, 4096)], "width int, memory_kb double"))
+
+
+# what the draws of an injection must satisfy
+PREFIX = 3323068416  # 198.18.0.0
+
+
+def _draws(rows, spread: str, fixed: str, low: int, high: int):
+    inside = (F.col(spread) >= PREFIX) & (F.col(spread) < PREFIX + 65536)
+    return rows.agg(F.count("*").alias("n"), F.count_distinct(fixed).alias("fixed"), F.bool_and(inside).alias("in_prefix"), F.bool_and((F.col("sport") >= low) & (F.col("sport") < high)).alias("ports"), (F.count_distinct(spread) > 40).alias("many"), (F.count_distinct("sport") > 100).alias("many_ports"))
+
+
+DRAWS_SQL = "SELECT 500::BIGINT AS n, 1::BIGINT AS fixed, true AS in_prefix, true AS ports, true AS many, true AS many_ports"
+query("ddos_draws", DRAWS_SQL)(lambda s, d: _draws(_flood(s, d), "src", "dst", 1024, 65535))
+query("scan_draws", DRAWS_SQL)(lambda s, d: _draws(_sweep(s, d), "dst", "src", 40_000, 60_000))
+query("spread_addresses", f"SELECT 5000::BIGINT AS n, 5000::BIGINT AS different, true AS inside")(lambda s, d: s.range(5000).select(inject.spread(F.col("id"), 5000, "198.18.0.0/16", 7).alias("a")).agg(F.count("*").alias("n"), F.count_distinct("a").alias("different"), F.bool_and(F.col("a").between(PREFIX, PREFIX + 65535)).alias("inside")))
+
+# addresses that spread over prefixes
+WIDE_SQL = TRACE_SQL.replace("167772160 + user_id AS src", "(user_id * 2654435761) % 4294967296 AS src")
+
+
+def _wide(s, d):
+    return from_events(s, d).withColumn("src", F.pmod((F.col("src") - 167772160) * F.lit(2654435761), F.lit(4294967296)))
+
+
+for _k in ("src24", "src16"):
+    query(f"freq_{_k}_wide", f"WITH {WIDE_SQL} SELECT {ip_sql(KEY_SQL[_k], _k)} AS key, sum(len)::BIGINT AS f FROM trace GROUP BY {KEY_SQL[_k]}")(lambda s, d, k=_k: stats.frequencies(_wide(s, d), k, "bytes").select(keys.render(F.col("key"), k).alias("key"), "f"))
+    add_windows(f"windows_{_k}_wide", _wide, WIDE_SQL, key=_k)
+
+
+# sources and sinks: the trace written to a file of the format and read back
+def _through_trace24(s, d):
+    path = shared.scratch(s, "trace24").removeprefix("file:")
+    trace24.write(from_events(s, d), path)
+    return trace24.read(s, path)
+
+
+def _through_pcap(s, d):
+    path = shared.scratch(s, "events.pcap").removeprefix("file:")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    pcap.write(from_events(s, d), path)
+    return pcap.read(s, path)
+
+
+def _through_csv(s, d):
+    path = shared.scratch(s, "query")
+    tables.write_csv(Windows(from_events(s, d), "dst", W=W, delta=D).query(list(IPS[:2])), path)
+    return tables.read_query_csv(s, path)
+
+
+query("trace24_roundtrip", f"WITH {TRACE_SQL} SELECT {PROJECT} FROM trace")(_through_trace24)
+query("pcap_decode", f"WITH {TRACE_SQL} SELECT {PROJECT} FROM trace")(_through_pcap)
+query("query_csv_roundtrip", QUERY_SQL)(_through_csv)

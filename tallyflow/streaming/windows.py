@@ -4,18 +4,19 @@ A stream has no last record and no global first one: the origin t0 is given,
 and a window is final when the watermark passes its end.  Two stateful
 aggregations are chained: counts by (window, key), then totals by window.
 Records later than the watermark are left out, where the batch engine counts
-them by their own time; windows without records do not appear.
+them by their own time; windows without records appear
+only in ``detector.window_batches``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
 
 
-def _timed(stream: DataFrame, t0: int, W: float, delta: float, delay: str) -> tuple[DataFrame, object]:
+def _timed(stream: DataFrame, t0: int, W: float, delta: float, delay: str) -> tuple[DataFrame, Column]:
     # windows are closed on the right: one microsecond less makes them Spark's
     rows = stream.where(F.col("ts_us") > t0).withColumn("ets", F.timestamp_micros(F.col("ts_us") - 1)).withWatermark("ets", delay)
     start = t0 % int(delta * 1e6)
@@ -31,7 +32,7 @@ def frequencies(stream: DataFrame, t0: int, key: str = "src", weight: str = "pkt
 
 
 def windows(stream: DataFrame, t0: int, **options) -> DataFrame:
-    """(win, N, distinct) of whole windows, streaming; flags need N, so they are set in ``with_flags`` by batch."""
+    """(win, N, distinct) of whole windows that are not empty, streaming; ``detector.window_batches`` adds flags and the empty ones."""
     out = frequencies(stream, t0, **options).groupBy("w").agg(F.min("win").alias("win"), F.sum("f").alias("N"), F.count("*").alias("distinct"))
     return out.select("win", "N", "distinct")
 
