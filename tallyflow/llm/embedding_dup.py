@@ -215,4 +215,4 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     facts = unit.join(named, "rep").join(counted, "rep", "left").select(F.col("v").alias("w"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = exchange.lookup(rows, facts, {"key": F.reverse("v")}, {"key": F.reverse("w")})
     component = F.coalesce("component_id", "id")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), component.isNull()).alias("kept"))

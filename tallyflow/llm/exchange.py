@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,53 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import ship  # noqa: F401
+from ..shared import discard, materialize, scratch, shared_dir  # noqa: F401
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is configured, an own one if all runs on this machine."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir is None:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        set_dir = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="tallyflow-")
-        shared_dir.own = set_dir
-    return set_dir.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the session's file system closes."""
-    path = f"{shared_dir(spark)}/tallyflow-{uuid.uuid4().hex}-{label}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: it ends the lineage, survives lost executors, and is computed once."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tallyflow_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more."""
-    for t in tables:
-        path = getattr(t, "_tallyflow_path", None)
-        if path:
-            jvm, sc = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def text_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(quoted(text_col)))).first()[0] or 0
 

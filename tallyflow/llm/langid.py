@@ -24,7 +24,10 @@ compared by their letters: lower-cased, all other ASCII one space.
 Edge cases: a null text, an empty one or one without a letter is ``und`` with
 score 0; so is everything if no row is labelled.  With one learned language
 all else is that, with score 1.  Ties go to the alphabetically first language
-with score 0.  Labels, sources and ids are no inputs of a prediction.
+with score 0.  Labels, sources and ids are no inputs of a prediction.  Repeated
+rows are predicted row by row.  Further columns stay as they are, whatever their
+names and types; one with the name of a result is replaced by it.  An empty
+table teaches nothing and gives no rows.
 """
 
 from __future__ import annotations

@@ -95,6 +95,6 @@ link AS MATERIALIZED (SELECT p.r AS a, q.r AS b FROM ok p, ok q WHERE p.r < q.r
 {_REACH},
 n AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a),
 g AS (SELECT reach.a, min(e.vec_id) AS least FROM reach JOIN e ON e.r = reach.b GROUP BY reach.a)
-SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(least(e.vec_id, g.least), e.vec_id, g.least) AS component_id, coalesce(coalesce(least(e.vec_id, g.least), e.vec_id, g.least) = e.vec_id, true) AS kept
-FROM e LEFT JOIN n ON n.a = e.r LEFT JOIN g ON g.a = e.r
+SELECT vec_id, n_links, component_id, coalesce(component_id = vec_id, component_id IS NULL) AS kept
+FROM (SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(least(e.vec_id, g.least), e.vec_id, g.least) AS component_id FROM e LEFT JOIN n ON n.a = e.r LEFT JOIN g ON g.a = e.r)
 """

@@ -10,7 +10,10 @@ merging, and only the rest is merged.
 Strings of special tokens inside a text are taken out first, as the library
 does by default; each is one token.
 
-Edge cases: a null text counts as empty: no bytes, no tokens.
+Edge cases: a null text counts as empty: no bytes, no tokens.  Null, equal and
+repeated ids are counted row by row.  Further columns are ignored unless named
+in ``keep``; one with the name of a result is then replaced by it.  An empty
+table gives no rows.  A long text is cut to pre-tokens whole, in one task.
 """
 
 from __future__ import annotations
