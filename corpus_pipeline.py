@@ -3,8 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame; ``run`` writes each result to the shared folder and
 reads it again for the next.  All but the last return the columns of
-``documents``.  Columns that ``documents`` has beyond those of its contract
-travel along.
+``documents``.
+
+Edge cases, of every stage but packing: columns that ``documents`` has beyond
+those of its contract travel along, whatever their names and types; an empty
+table gives an empty one.  Null texts go in the first stage.  Null and equal ids
+are rows like others: of rows that are near duplicates, repeated ones among
+them, one stays, that with the smallest id, a null id being the largest; and
+rows with equal ids, or without an id, take no passages from each other.
 """
 
 from __future__ import annotations
