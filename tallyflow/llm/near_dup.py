@@ -328,4 +328,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = _signed(docs, id_col, text_col, rest)
     gone = _classified(signed, similarity, CHUNK).where("not kept").select("row")
     back = {text_col: F.col("text")} | {c: F.col(f"rest.c{i}") for i, c in enumerate(rest)}
-    return signed.join(gone.hint("merge"), "row", "left_anti").select(*[back[c].alias(c) for c in docs.columns])
+    kept = signed.join(gone.hint("merge"), "row", "left_anti").select(*[back[c].alias(c) for c in docs.columns])
+    # written, so that the larger table of all rows with their bands does not outlive the call
+    kept = exchange.materialize(kept, "kept")
+    exchange.discard(signed)
+    return kept
