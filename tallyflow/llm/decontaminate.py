@@ -191,7 +191,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             docs = exchange.materialize(docs, "contamination")
             exchange.discard(*([] if past is None else [past]))
             past = docs
-        inputs = {"text": exchange.quoted(text_col)} | ({c: F.col(f"{mark}{c}") for c in state} if k else {})
+        inputs = {"text": text_col} | ({c: f"{mark}{c}" for c in state} if k else {})
         out = REPORT | {"matches": MATCH} if final else {f"{mark}{c}": t for c, t in state.items()}
         look = _pass(chunk, final)
         docs = exchange.annotate(docs, keep if final else given, inputs, look if final else lambda b, look=look: {f"{mark}{c}": x for c, x in look(b).items()}, out)
@@ -208,7 +208,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
             exchange.discard(*([] if past is None else [past]))
             past = docs
         look = _pass(chunk, True)
-        docs = exchange.kept_rows(docs, {"text": exchange.quoted(text_col)}, lambda b, look=look: pc.invert(look(b)["contaminated"]))
+        docs = exchange.kept_rows(docs, {"text": text_col}, lambda b, look=look: pc.invert(look(b)["contaminated"]))
     return docs
 
 

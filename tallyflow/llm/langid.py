@@ -113,14 +113,14 @@ def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", k
     """The ``keep`` columns of each row with ``lang_pred``, ``score`` and ``rejected``."""
     exchange.ship(docs.sparkSession)
     out = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
-    return exchange.annotate(docs, docs.columns if keep is None else keep, {"text": exchange.quoted(text_col)}, predictor(model, margin), out)
+    return exchange.annotate(docs, docs.columns if keep is None else keep, {"text": text_col}, predictor(model, margin), out)
 
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """The rows that are not rejected, unchanged."""
     exchange.ship(docs.sparkSession)
     predict = predictor(model, margin)
-    return exchange.kept_rows(docs, {"text": exchange.quoted(text_col)}, lambda b: pc.invert(predict(b)["rejected"]))
+    return exchange.kept_rows(docs, {"text": text_col}, lambda b: pc.invert(predict(b)["rejected"]))
 
 
 def predictor(model: dict[str, bytes], margin: float):

@@ -215,7 +215,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, rest: list[str]) -> Dat
         exchange.quoted(text_col).cast("string").alias("text"),
         F.struct(F.lit(0).alias("none"), *[exchange.quoted(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"),
     ).withColumn("row", F.monotonically_increasing_id())
-    made = exchange.annotate(rows, ["row", "id", "text", "rest"], {"text": F.col("text")}, _sign, {"t1": "long", "t2": "long", "bands": "array<long>"})
+    made = exchange.annotate(rows, ["row", "id", "text", "rest"], {"text": "text"}, _sign, {"t1": "long", "t2": "long", "bands": "array<long>"})
     return exchange.materialize(made, "signed")
 
 
@@ -279,7 +279,7 @@ def _classified(signed: DataFrame, similarity: float, chunk: int) -> DataFrame:
     members = _bucket_members(texts)
     wanted = members.select(F.col("rep").alias("row")).distinct()
     shingled = signed.select("row", "text").join(wanted, "row", "left_semi").withColumnRenamed("row", "id")
-    shingled = exchange.materialize(exchange.annotate(shingled, ["id"], {"text": F.col("text")}, _weigh, {"keys": "binary", "weights": "binary"}), "shingled")
+    shingled = exchange.materialize(exchange.annotate(shingled, ["id"], {"text": "text"}, _weigh, {"keys": "binary", "weights": "binary"}), "shingled")
 
     tested = members.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     tested = exchange.materialize(tested, "pairs")

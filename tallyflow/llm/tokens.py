@@ -137,4 +137,4 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, id_col: str = "d
         n = pa.array(counts, pa.int64())
         return {"n_bytes": pc.binary_length(b["text"].cast(pa.large_binary())).fill_null(0).cast(pa.int64()), "n_tokens": n, "over_limit": pc.greater(n, limit)}
 
-    return exchange.annotate(docs, [id_col] if keep is None else keep, {"text": exchange.quoted(text_col)}, run, {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean"})
+    return exchange.annotate(docs, [id_col] if keep is None else keep, {"text": text_col}, run, {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean"})
